@@ -5,10 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import leakage, packing, spans
+from wardloom.llm import leakage, lookalike, mapping, packing, spans
 from wardloom.session import table
 
 
+def section_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "section_names")
+    return t.select(F.col("canonical_name").alias("entry"), F.explode(F.concat(F.array("canonical_name", "title"), F.coalesce("aliases", F.array()))).alias("name"))
+
+
+def concept_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "canonical_concepts")
+    names = F.concat(F.array("canonical_name"), F.coalesce("preferred_terms", F.array()), F.coalesce("synonyms", F.array()))
+    return t.select(F.col("concept_id").alias("entry"), F.explode(names).alias("name"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections, listed = table(spark, sf_dir, "detected_sections"), table(spark, sf_dir, "section_names").select("canonical_name").distinct()
+    asked = sections.join(listed, "canonical_name", "left_anti")
+    a = mapping.mapped(asked, "section_id", "original_heading", section_entries(spark, sf_dir))
+    b = mapping.mapped(table(spark, sf_dir, "clinical_terms"), "term_id", "term", concept_entries(spark, sf_dir), also="aliases")
+    out = lambda x, name, key: x.select(F.lit(name).alias("src_table"), F.col(key).cast("bigint").alias("row_id"), "canonical")
+    return out(a, "detected_sections", "section_id").unionByName(out(b, "clinical_terms", "term_id"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lookalike.same_look_pairs(table(spark, sf_dir, "documents"), "doc_id").select(F.lit("documents").alias("src_table"), "id_a", "id_b")
+    deid = lookalike.same_look_pairs(table(spark, sf_dir, "deid_requests"), "request_id").select(F.lit("deid_requests").alias("src_table"), "id_a", "id_b")
+    return docs.unionByName(deid)
+
+
 def p7_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -25,5 +51,5 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_packs, p8_found, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p7_packs, p8_found, p9_found, p9_shared)}
 SQL: dict[str, str] = {}
