@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardloom.session import cut, spread
+from wardloom.session import cut, may_contain, spread
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -114,34 +114,34 @@ def shared_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
                 base = h.begin[w["k"]]
                 yield pd.DataFrame({"d": x["d"].to_numpy()[w["k"]], "at": (w["at"] - base).astype("int32"), "lo": (w["lo"] - base).astype("int32"), "hi": (w["hi"] - base).astype("int32"), "sig": w["sig"].view("int64"), "ctx": w["ctx"].view("int64")})
 
+    made = cut(spread(src).mapInPandas(windows, f"d {kind}, at int, lo int, hi int, sig bigint, ctx bigint"))
     node = ["sig", "ctx", "left", "more"]
-    compact = cut(spread(src).mapInPandas(windows, f"d {kind}, at int, lo int, hi int, sig bigint, ctx bigint").selectExpr("*", "at - lo AS left", "hi - lo AS more"))
+    compact = made.selectExpr("d", "at", "lo", "sig", "ctx", "at - lo AS left", "hi - lo AS more").withColumn("tag", F.xxhash64(*node))
     extent = compact.groupBy(*node).agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.min_by("at", "d").alias("at0"))
+    extent = cut(extent.withColumn("tag", F.xxhash64(*node)))
     several = extent.groupBy("sig").agg(F.min("d0").alias("a"), F.max("d1").alias("b"), F.count("*").alias("n")).where("a != b and n > 1").select("sig")
-    asked = extent.join(several, "sig", "left_semi").groupBy(F.col("d0").alias("d")).agg(F.collect_list(F.struct(*node, "at0")).alias("w"))  # a text's own windows
+    asked = extent.join(several, "sig", "left_semi").groupBy(F.col("d0").alias("d")).agg(F.collect_list(F.struct("tag", "sig", "left", "more", "at0")).alias("w"))  # a text's own windows
+    asked = cut(asked)
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for x in _chunks(b):
                 h = Hashed(x["t"].tolist())
-                rows = [(k, r["sig"], r["ctx"], r["left"], r["more"], r["at0"]) for k, w in enumerate(x["w"]) for r in w]
-                k, sig, ctx, left, more, at = (np.array(c, "int64") for c in zip(*rows))
+                rows = [(k, r["tag"], r["sig"], r["left"], r["more"], r["at0"]) for k, w in enumerate(x["w"]) for r in w]
+                k, tag, sig, left, more, at = (np.array(c, "int64") for c in zip(*rows))
                 count = more + 1
                 j = np.repeat(np.arange(len(rows)), count)
                 start = (at - left + h.begin[k])[j] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 same = h.of(start, start + span) ^ mix(sig.view("uint64"))[j]
-                yield pd.DataFrame({"sig": sig, "ctx": ctx, "left": left.astype("int32"), "more": more.astype("int32"), "same": np.split(same.view("int64"), np.cumsum(count)[:-1])})
-
-    unit = cut(src.join(asked, "d").mapInPandas(compared, "sig bigint, ctx bigint, left int, more int, same array<bigint>"))
-    each = unit.select(*node, F.posexplode("same").alias("o", "same"))
-    tag = F.xxhash64("ctx", "left", "more")
-    common = each.groupBy("same").agg(F.min(tag).alias("a"), F.max(tag).alias("b")).where("a != b").select("same")
-    part = each.join(common, "same", "left_semi").groupBy(*node).agg(F.min("o").alias("o0"), F.max("o").alias("o1"))
-    known = (
-        extent.where("d0 != d1").select(*node, F.lit(0).alias("o0"), F.col("more").alias("o1"))
-        .unionByName(part).groupBy(*node).agg(F.min("o0").alias("o0"), F.max("o1").alias("o1"))
-    )
-    found = compact.join(known, node).select("d", (F.col("lo") + F.col("o0")).alias("s"), (F.col("lo") + F.col("o1") + span).alias("e"))
+                yield pd.DataFrame({"tag": tag, "same": np.split(same.view("int64"), np.cumsum(count)[:-1])})
+
+    unit = cut(may_contain(src, "d", asked, "d").join(asked, "d").mapInPandas(compared, "tag bigint, same array<bigint>"))
+    each = unit.select("tag", F.posexplode("same").alias("o", "same"))
+    common = each.groupBy("same").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a != b").select("same")
+    part = each.join(common, "same", "left_semi").groupBy("tag").agg(F.min("o").alias("o0"), F.max("o").alias("o1"))
+    known = extent.where("d0 != d1").select("tag", F.lit(0).alias("o0"), F.col("more").alias("o1")).unionByName(part).groupBy("tag").agg(F.min("o0").alias("o0"), F.max("o1").alias("o1"))
+    known = cut(known)
+    found = may_contain(compact, "tag", known, "tag").join(known, "tag").select("d", (F.col("lo") + F.col("o0")).alias("s"), (F.col("lo") + F.col("o1") + span).alias("e"))
     w = Window.partitionBy("d").orderBy("s", "e")
     reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("s") > F.col("reach"), 1).otherwise(0)).over(w)
