@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import leakage, lookalike, mapping, packing, spans
+from wardloom.llm import encodings, leakage, lookalike, mapping, packing, spans
 from wardloom.session import table
 
 
@@ -35,6 +35,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(deid)
 
 
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda name: table(spark, sf_dir, name).select(F.lit(name).alias("src_table"), "request_id", "source", "text")
+    return one("text_requests").unionByName(one("deid_requests"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encodings.found(_requests(spark, sf_dir), ["src_table", "request_id"])
+
+
 def p7_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -51,5 +60,5 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p7_packs, p8_found, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p7_packs, p8_found, p9_found, p9_shared)}
 SQL: dict[str, str] = {}
