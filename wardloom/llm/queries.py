@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import encodings, leakage, lookalike, mapping, packing, spans
-from wardloom.session import table
+from wardloom.llm import encodings, leakage, lookalike, mapping, packing, sentences, spans
+from wardloom.session import cut, table
 
 
 def section_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(a, "detected_sections", "section_id").unionByName(out(b, "clinical_terms", "term_id"))
 
 
+def _mended_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text requests in the form they were written in, with the stored offset of each sign."""
+    src = table(spark, sf_dir, "text_requests").select(F.lit("text_requests").alias("src_table"), "request_id", "source", "text")
+    return cut(encodings.repaired(src, ["src_table", "request_id"]).select("request_id", "text", "at"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_units(_mended_requests(spark, sf_dir), "request_id", at="at")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = lookalike.same_look_pairs(table(spark, sf_dir, "documents"), "doc_id").select(F.lit("documents").alias("src_table"), "id_a", "id_b")
     deid = lookalike.same_look_pairs(table(spark, sf_dir, "deid_requests"), "request_id").select(F.lit("deid_requests").alias("src_table"), "id_a", "id_b")
@@ -60,5 +70,5 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p7_packs, p8_found, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p7_packs, p8_found, p9_found, p9_shared)}
 SQL: dict[str, str] = {}
