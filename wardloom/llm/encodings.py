@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardloom.llm.lookalike import character_table
 from wardloom.session import cut, spread
 
 #: Chains by name: the encodings of the bytes and of the reading, from the first damage to the last.
@@ -117,6 +118,11 @@ def _again(text: str, parts: list[tuple[int, int, str, list[int]]], step: tuple[
     return out
 
 
+@lru_cache(maxsize=1)
+def same_look() -> dict[int, str]:
+    return {ord(c): t for c, t in character_table().items()}
+
+
 class CharacterModel:
     """Log probability of strings by hashed character pairs; its size is fixed."""
 
@@ -149,7 +155,11 @@ class CharacterModel:
         if known is None:
             if len(self.gains) > 300_000:
                 self.gains.clear()
-            known = self.gains[key] = self.score(before + was + after) - self.score(before + stored + after)
+            plain = stored.translate(same_look())
+            best = self.score(before + stored + after)
+            if plain != stored:  # a disguised letter is no damage
+                best = max(best, self.score(before + plain + after) - 1)
+            known = self.gains[key] = self.score(before + was + after) - best
         return known
 
 
@@ -211,36 +221,37 @@ def helpful(line: str, chain: str, model: CharacterModel, start_cost: float = 3.
     return out
 
 
-def weighed(df: DataFrame, key: list[str], text: str, source: str, model: CharacterModel, rounds: int = 4) -> DataFrame:
+def weighed(df: DataFrame, key: list[str], text: str, source: str, model: CharacterModel, rounds: int = 3, start: float = 0.002, strength: float = 20.0) -> DataFrame:
     """(key, chain, posterior): the most likely chain of each text that any chain could have made, and how likely one of them did.
 
-    The prior of a chain belongs to the pair of source and field (``key[0]`` names the field); it is shrunk to the field's,
-    so that a source of few records learns from the others.
+    The prior of a chain belongs to the pair of source and field (``key[0]`` names the field); it is shrunk to the field's
+    with the weight of ``strength`` texts, so that a source of few records learns from the others. With no ``rounds`` the
+    prior stays at ``start``. What comes to the driver is one number for each field and chain.
     """
     src = spread(df.select(*key, F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("t")).where(F.col("t").rlike(r"[^\x00-\x7f]")))
     kinds = dict(src.dtypes)
-    shape = ", ".join(f"{k} {kinds[k]}" for k in key) + ", source string, chain string, gain double"
+    shape = ", ".join(f"{k} {kinds[k]}" for k in key) + ", source string, made array<struct<chain:string,gain:double>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(*r[:-1], c, g) for r in b.itertuples(index=False, name=None) for c, g in proposals(r[-1], model)]
-            yield pd.DataFrame(rows, columns=[*key, "source", "chain", "gain"])
-
-    found = cut(src.mapInPandas(run, shape))
-    texts = cut(src.groupBy(key[0], "source").agg(F.count("*").alias("texts")))
-    prior = found.select(key[0], "source", "chain").distinct().withColumn("p", F.lit(0.01))
-    for k in range(rounds):
-        like = found.join(prior, [key[0], "source", "chain"]).withColumn("w", F.col("p") * F.exp(F.least("gain", F.lit(500.0))))
-        per = like.groupBy(*key, "source").agg(F.sum("w").alias("all"))
-        post = like.join(per, [*key, "source"]).withColumn("q", F.col("w") / (1 + F.col("all")))
-        if k == rounds - 1:
-            break
-        counted = post.groupBy(key[0], "source", "chain").agg(F.sum("q").alias("q")).join(texts, [key[0], "source"])
-        field = counted.groupBy(key[0], "chain").agg(F.sum("q").alias("fq")).join(texts.groupBy(key[0]).agg(F.sum("texts").alias("ft")), key[0])
-        field = field.select(key[0], "chain", ((F.col("fq") + 0.01) / (F.col("ft") + 1)).alias("fp"))
-        prior = cut(counted.join(field, [key[0], "chain"]).select(key[0], "source", "chain", ((F.col("q") + 20 * F.col("fp")) / (F.col("texts") + 20)).alias("p")))
-    best = post.groupBy(*key).agg(F.max(F.struct("q", "chain")).alias("m"), F.sum("q").alias("total"))
-    return best.select(*key, F.col("m.chain").alias("chain"), F.col("total").alias("posterior"))
+            rows = [(*r[:-1], [{"chain": c, "gain": g} for c, g in proposals(r[-1], model)]) for r in b.itertuples(index=False, name=None)]
+            yield pd.DataFrame(rows, columns=[*key, "source", "made"])
+
+    found = cut(src.mapInPandas(run, shape))  # texts that no chain could have made count in the priors
+    weights = lambda prior: F.transform("made", lambda x: F.struct((prior(x["chain"]) * F.exp(F.least(x["gain"], F.lit(500.0)))).alias("w"), x["chain"].alias("chain")))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"])
+    post = found.where(F.size("made") > 0).withColumn("v", weights(lambda c: F.lit(start))).withColumn("all", total)
+    for _ in range(rounds):
+        q = post.select(key[0], "source", F.explode("v").alias("x"), "all").groupBy(key[0], "source", F.col("x.chain").alias("chain")).agg(F.sum(F.col("x.w") / (1 + F.col("all"))).alias("q"))
+        own = q.groupBy(key[0], "source").agg(F.map_from_entries(F.collect_list(F.struct("chain", "q"))).alias("own"))  # one entry a chain
+        own = cut(found.groupBy(key[0], "source").agg(F.count("*").alias("texts")).join(own, [key[0], "source"], "left"))
+        texts = {r[0]: r.n for r in own.groupBy(key[0]).agg(F.sum("texts").alias("n")).collect()}
+        sums = own.select(key[0], F.explode("own").alias("chain", "q")).groupBy(key[0], "chain").agg(F.sum("q").alias("q")).collect()
+        share = {f"{r[0]}|{r.chain}": strength * (r.q + 0.01) / (texts[r[0]] + 1) for r in sums}
+        of_field = F.create_map(*[F.lit(x) for kv in share.items() for x in kv]) if share else F.create_map(F.lit(""), F.lit(0.0))
+        prior = lambda c: (F.coalesce(F.col("own")[c], F.lit(0.0)) + F.coalesce(of_field[F.concat_ws("|", F.col(key[0]), c)], F.lit(0.0))) / (F.col("texts") + strength)  # noqa: E731, B023
+        post = found.where(F.size("made") > 0).join(own, [key[0], "source"]).withColumn("v", weights(prior)).withColumn("all", total)
+    return post.select(*key, F.array_max("v")["chain"].alias("chain"), (F.col("all") / (1 + F.col("all"))).alias("posterior"))
 
 
 def repaired(df: DataFrame, key: list[str], text: str = "text", source: str = "source", least: float = 0.5, unsure: float = 0.05) -> DataFrame:
@@ -270,7 +281,7 @@ def repaired(df: DataFrame, key: list[str], text: str = "text", source: str = "s
         return clean.unionByName(joined.where(sure).mapInPandas(run, shape))
 
     first = character_model(src, "t")
-    model = character_model(mend(cut(weighed(src, key, "t", source, first)), first).where("damaged is not null"))
+    model = character_model(mend(cut(weighed(src, key, "t", source, first, rounds=0)), first).where("damaged is not null"))
     out = mend(cut(weighed(src, key, "t", source, model)), model)
     lost = F.coalesce(F.col("text").rlike(LOST), F.lit(False))
     return out.select(*key, (F.coalesce("damaged", F.lit(False)) | lost).alias("damaged"), (~lost).alias("restored"), "text", "at")

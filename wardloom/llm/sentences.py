@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardloom.session import spread
+from wardloom.session import cut, spread
 
 TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.'’\-/,:]{1,2}[\p{L}\p{M}\p{N}]+)*\.?")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}][^\s]*|[^\s\p{L}\p{N}]+")
@@ -34,7 +34,9 @@ FUNCTION_WORDS = {
     "en": "the of and to in a is was for with at by on from not after", "fr": "le la les de des du et à est une un pour avec dans par au",
     "de": "der die das und den von zu mit im ist ein eine bei um auf nicht", "es": "el la los de del y en un una se con por para las que al",
 }
+LATIN = {*FUNCTION_WORDS, "Latin"}
 LANGUAGE_OF = {w: [k for k, v in FUNCTION_WORDS.items() if w in v.split()] for w in " ".join(FUNCTION_WORDS.values()).split()}
+VOWEL = regex.compile(r"[^\p{Latin}]|[aeiouyäöüáéíóúàèùâêîôûœ]")
 SCRIPTS = [(n, regex.compile(rf"\p{{{n}}}")) for n in ("Arabic", "Devanagari", "Thai", "Han", "Hiragana", "Katakana", "Cyrillic", "Greek", "Hangul", "Hebrew")]
 
 
@@ -64,23 +66,38 @@ def folded(line: str) -> str:
 
 
 def kind(token: str) -> str:
-    body = token.rstrip(".").casefold()
+    body = regex.split(r"['’]", token.rstrip(".").casefold())[-1]
     return "0" if body[:1].isdigit() and not any(c.isalpha() for c in body) else body
 
 
+def opening(line: str) -> str:
+    """How a line begins: its first two words, or its first signs where words aren't parted."""
+    words = line.split()[:2]
+    return regex.sub(r"\d+", "0", " ".join(w[:8] if len(w) > 14 else w for w in words).casefold())
+
+
+def with_colon(line: str) -> str:
+    return folded(line) + ":" if line.rstrip().endswith((":", "：")) else folded(line)
+
+
 def count_text(text: str) -> Iterator[tuple[str, str, str, str]]:
     """(language, what, a, b) of every event that the statistics count."""
+    before = ""
     for _, line in lines_of(text):
+        last, before = before, line
         if not line.strip():
             continue
         lang = statistics_language(line)
         words = line.split()
         yield lang, "lines", "", ""
+        if not ITEM.match(line):
+            yield lang, "resumes" if last.strip() and not FINAL.search(last) else "opens", opening(line), ""
         if not FINAL.search(line):
             if len(words) <= 7 and not ITEM.match(line):
                 yield lang, "alone", folded(line), ""
-        for n in range(1, min(7, len(words))):
-            yield lang, "begins", folded(" ".join(words[:n])), ""
+        if FINAL.search(line) or len(words) > 7:
+            for n in range(1, min(7, len(words))):
+                yield lang, "begins", with_colon(" ".join(words[:n])), ""
         if m := LABEL.match(line):
             yield lang, "label final" if FINAL.search(line) else "label open", folded(m.group(1)), ""
         tokens = [m for m in TOKEN.finditer(line)]
@@ -90,6 +107,9 @@ def count_text(text: str) -> Iterator[tuple[str, str, str, str]]:
             yield lang, "token", w, ""
             if t.endswith(".") and line[m.end() : m.end() + 1] != ".":
                 yield lang, "period", w, ""
+                rest = line[m.end() :].lstrip(" \u00a0")[:1]
+                if rest.islower() or rest.isdigit() or rest in ",;:،؛" and rest:
+                    yield lang, "goes on", w, ""
                 if nxt is not None:
                     x = kind(nxt.group())
                     gap = line[m.end() : nxt.start()]
@@ -120,6 +140,8 @@ class Statistics:
         self.starters: dict[str, set[str]] = {}
         self.collocations: dict[str, set[tuple[str, str]]] = {}
         self.headings: set[tuple[str, str]] = set()
+        self.labels: set[tuple[str, str]] = set()
+        self.opens: set[tuple[str, str]] = set()
         self.sentence_labels: set[tuple[str, str]] = set()
         self.begins: set[tuple[str, str]] = set()
         c = counts.get
@@ -129,9 +151,11 @@ class Statistics:
             own = [(what, a, b, k) for (g, what, a, b), k in counts.items() if g == lang]
             abbr = set()
             for what, w, _, k in own:
-                if what == "period" and w != "0" and self._abbreviation(w, k, c((lang, "token", w, ""), k), c((lang, "ends", w, ""), 0), periods, n):
+                if what == "period" and w != "0" and self._abbreviation(w, k, c((lang, "token", w, ""), k), c((lang, "ends", w, ""), 0), c((lang, "goes on", w, ""), 0), periods, n):
                     abbr.add(w)
             self.abbreviations[lang] = abbr
+            if lang in LATIN:
+                self.abbreviations.setdefault("any Latin", set()).update(abbr)
             # periods after abbreviations say nothing about what begins a sentence
             ends = max(1, periods - sum(c((lang, "period", w, ""), 0) for w in abbr))
             starts: Counter = Counter()
@@ -149,21 +173,29 @@ class Statistics:
                     self.headings.add((lang, a))
                 if what == "label final" and k > c((lang, "label open", a, ""), 0):
                     self.sentence_labels.add((lang, a))
+                if what == "label open" and k >= 2 and k > 4 * c((lang, "label final", a, ""), 0):
+                    self.labels.add((lang, a))
+                if what == "opens" and k >= 2 and k > (1 if lang in LATIN else 3) * c((lang, "resumes", a, ""), 0):
+                    self.opens.add((lang, a))
                 if what == "begins" and k > c((lang, "alone", a, ""), 0) and k >= 2:
                     self.begins.add((lang, a))
 
     @staticmethod
-    def _abbreviation(w: str, with_period: int, total: int, ends: int, periods: int, n: int) -> bool:
-        """Kiss and Strunk's score of a type that stands before a period."""
+    def _abbreviation(w: str, with_period: int, total: int, ends: int, goes_on: int, periods: int, n: int) -> bool:
+        """Kiss and Strunk's score of a type that stands before a period.
+
+        A word that always ends its sentence looks the same to it, so a longer type without inner periods must also be
+        seen before a small letter, a digit or a comma, and hardly any may stand at the end of a line.
+        """
         total = max(total, with_period)
-        if sum(ch.isalpha() for ch in w) > 9 and "." not in w:
+        if "." not in w and len(w) > 3 and VOWEL.search(w) and goes_on * 4 < with_period or len(w) > 12 or ends * 10 > with_period:
             return False
         p, q = periods / n, 0.99
         without = total - with_period
         ll = -2 * ((with_period * math.log(p) + without * math.log(max(1e-12, 1 - p))) - (with_period * math.log(q) + without * math.log(1 - q)))
         length = max(1, sum(ch not in ".-" for ch in w))
         score = ll * math.exp(-length) * (w.count(".") + 1) * length ** -min(without, 60)
-        return score >= 0.3 and ends * 2 <= with_period
+        return score >= 0.3
 
 
 def learned(texts: DataFrame, text: str = "text", share: float = 5e-6) -> Statistics:
@@ -179,13 +211,13 @@ def learned(texts: DataFrame, text: str = "text", share: float = 5e-6) -> Statis
 
     src = spread(texts.select(F.col(text).alias("t")).where("t is not null and t != ''"))
     c = src.mapInPandas(run, "lang string, what string, a string, b string, n bigint").groupBy("lang", "what", "a", "b").agg(F.sum("n").alias("n"))
-    of = F.when(F.col("what").isin("token", "period", "pair", "after", "ends"), "token").otherwise("lines")
-    c = c.persist()
-    total = c.where("what in ('token', 'period', 'lines')").groupBy("lang", "what").agg(F.sum("n").alias("total"))
-    frequent = c.join(F.broadcast(total.withColumnRenamed("what", "of")), [c["lang"] == total["lang"], of == F.col("of")]).where((F.col("n") >= 2) & (F.col("n") >= F.col("total") * share) | (F.col("what") == "lines")).select(c["lang"], "what", "a", "b", "n")
+    c = cut(c)
+    total = {(r.lang, r.what): r.n for r in c.where("what in ('token', 'period', 'lines')").groupBy("lang", "what").agg(F.sum("n").alias("n")).collect()}  # a few languages
+    least = F.create_map(*[F.lit(x) for (lang, what), n in total.items() if what != "period" for x in (f"{lang}|{'t' if what == 'token' else 'l'}", share * n)] or [F.lit(""), F.lit(0.0)])
+    of = F.when(F.col("what").isin("token", "period", "pair", "after", "ends", "goes on"), "t").otherwise("l")
+    frequent = c.where((F.col("n") >= 2) & (F.col("n") >= least[F.concat_ws("|", F.col("lang"), of)]))
     counts = {(r.lang, r.what, r.a, r.b): r.n for r in frequent.collect()}
-    counts |= {(r.lang, f"all {r.what}", "", ""): r.total for r in total.collect()}
-    c.unpersist()
+    counts |= {(lang, f"all {what}", "", ""): n for (lang, what), n in total.items()}
     return Statistics(counts)
 
 
@@ -204,7 +236,7 @@ def blocks(text: str, s: Statistics) -> Iterator[tuple[int, int, bool, str]]:
     def flush() -> Iterator[tuple[int, int, bool, str]]:
         nonlocal open_at
         if open_at >= 0:
-            yield open_at, open_end, False, open_lang
+            yield open_at, open_end, False, statistics_language(text[open_at:open_end])
         open_at = -1
 
     item_open = -1
@@ -232,18 +264,31 @@ def blocks(text: str, s: Statistics) -> Iterator[tuple[int, int, bool, str]]:
             yield item_open, open_end, True, open_lang
             item_open = -1
         goes_on = open_at >= 0 and not FINAL.search(text[open_at:open_end])
+        if goes_on and _starts_anew(text[open_at:open_end], line, lang, s):  # the mark before is missing
+            yield from flush()
+            goes_on = False
         if not (goes_on and first.islower()) and _alone(line, following, goes_on, lang, s):
             yield from flush()
             yield start, end, True, lang
             continue
         if open_at < 0:
-            open_at, open_lang = start, lang
+            open_at = start
         open_end = end
     if item_open >= 0:
         yield item_open, open_end, True, open_lang
     yield from flush()
 
 
+def _starts_anew(unfinished: str, line: str, lang: str, s: Statistics) -> bool:
+    """Whether a line begins a sentence although the one before it has no final mark."""
+    last = statistics_language(unfinished.rstrip().rpartition("\n")[2])
+    if lang != last and not {lang, last} <= LATIN:
+        return True
+    if line.lstrip()[0].islower() or line.lstrip()[0].isdigit():
+        return False
+    return any((g, opening(line)) in s.opens for g in (LATIN if lang in LATIN else (lang,)))
+
+
 def _alone(line: str, following: str, goes_on: bool, lang: str, s: Statistics) -> bool:
     """Whether a line is a heading or a label with its value."""
     if FINAL.search(line):
@@ -255,8 +300,9 @@ def _alone(line: str, following: str, goes_on: bool, lang: str, s: Statistics) -
     nxt = following.lstrip()[:1]
     digits = any(c.isdigit() for c in line)
     if line.rstrip().endswith((":", "：")):
-        return len(words) <= 6 and not digits and not goes_on and (lang, key) not in s.begins
-    if (m := LABEL.match(line)) and not goes_on:
+        return len(words) <= 6 and not digits and not goes_on and (lang, key + ":") not in s.begins
+    m = LABEL.match(line)
+    if m and (not goes_on or (lang, folded(m.group(1))) in s.labels):
         value = m.group(2).split()
         return len(m.group(1).split()) <= 4 and len(value) <= 5 and (lang, folded(m.group(1))) not in s.sentence_labels and not nxt.islower()
     if digits or len(words) > 4 or len(line) > 60 or goes_on:
@@ -303,7 +349,8 @@ def enclosed(text: str, start: int, end: int) -> list[tuple[int, int, bool]]:
 
 def split_block(text: str, start: int, end: int, lang: str, s: Statistics) -> Iterator[tuple[int, int]]:
     """The sentences of a block, blanks at their ends included."""
-    abbreviations, starters, collocations = s.abbreviations.get(lang, ()), s.starters.get(lang, ()), s.collocations.get(lang, ())
+    starters, collocations = s.starters.get(lang, ()), s.collocations.get(lang, ())
+    known = lambda g: s.abbreviations.get("any Latin" if g == "Latin" else g, ())
     spans = enclosed(text, start, end)
     at = start
     i = start
@@ -345,12 +392,11 @@ def split_block(text: str, start: int, end: int, lang: str, s: Statistics) -> It
                     nt = TOKEN.search(text, i, end)
                     x = kind(nt.group()) if nt else ""
                     initial = len(w) == 1 and w.isalpha()
-                    if w in abbreviations or initial and cased:
+                    here = statistics_language(text[text.rfind("\n", start, m.start()) + 1 : m.end() + 40])
+                    if w in known(lang) or w in known(here) or initial and cased:
                         if not (cased and x in starters and (w, x) not in collocations):
                             continue
-                    elif (w, x) in collocations and x not in starters and w != "0":
-                        continue
-                    elif w == "0" and (w, x) in collocations and lang == "de" and len(t.group()) <= 3 and not cased:
+                    elif x == "0" and len(w) <= 4 and w.isalpha() and lang in LATIN and any((w, x) in s.collocations.get(g, ()) for g in (lang, here)):
                         continue
         elif not gap and not closed and mark in "!?" and nxt.isalnum() and not regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}]", nxt):
             continue
@@ -359,7 +405,7 @@ def split_block(text: str, start: int, end: int, lang: str, s: Statistics) -> It
     yield at, end
 
 
-THAI = regex.compile(r"(?<=[\p{Thai}\p{N}\])»”\"])[ \u00a0]+(?=[\p{Thai}\[(«“\"])")
+THAI = regex.compile(r"(?<=[\p{Thai}\p{N}\])»”\"])\s+(?=[\p{Thai}\[(«“\"])")
 
 
 def thai(text: str, start: int, end: int, least: int = 10) -> Iterator[tuple[int, int]]:
