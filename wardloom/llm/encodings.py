@@ -131,6 +131,7 @@ class CharacterModel:
         self.own = np.log((single + 0.05) / (total + 0.05 * len(single))).astype("float32")
         self.pairs, self.single = pairs.astype("float32"), single.astype("float32")
         self.gains: dict[tuple[str, str, str, str], float] = {}
+        self.words: dict[str, tuple[str, ...]] = {}
 
     @staticmethod
     def codes(text: str) -> np.ndarray:
@@ -168,11 +169,24 @@ def character_model(texts: DataFrame, text: str = "text") -> CharacterModel:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs, single = np.zeros(BIGRAMS, "int64"), np.zeros(CONTROL, "int64")
+        part: list[str] = []
+        size = 0
+
+        def add() -> None:
+            nonlocal pairs, single, size
+            c = CharacterModel.codes("\n".join(["", *part, ""]))
+            pairs += np.bincount(CharacterModel.pair(c), minlength=BIGRAMS)
+            single += np.bincount(c, minlength=CONTROL)
+            part.clear()
+            size = 0
+
         for b in batches:
             for t in b["t"]:
-                c = CharacterModel.codes(f"\n{t}\n")
-                np.add.at(pairs, CharacterModel.pair(c), 1)
-                np.add.at(single, c, 1)
+                size += len(t) + 1
+                part.append(t)
+                if size > 2_000_000:
+                    add()
+            add()
         i, j = pairs.nonzero()[0], single.nonzero()[0]
         yield pd.DataFrame({"k": np.concatenate([i, j + BIGRAMS]), "n": np.concatenate([pairs[i], single[j]])})
 
@@ -183,27 +197,55 @@ def character_model(texts: DataFrame, text: str = "text") -> CharacterModel:
     return CharacterModel(counts[:BIGRAMS], counts[BIGRAMS:])
 
 
+@lru_cache(maxsize=None)
+def utf8_signs(read: str) -> re.Pattern:
+    """Signs that stand for the bytes of one character of UTF-8, read in another encoding."""
+    signs = lambda low, high: "[" + re.escape("".join(chr(c) for c, b in byte_table(read).items() if low <= b <= high)) + "]"
+    more = signs(0x80, 0xBF)
+    return re.compile(f"{signs(0xC2, 0xDF)}{more}|{signs(0xE0, 0xEF)}{more}{{2}}|{signs(0xF0, 0xF4)}{more}{{3}}")
+
+
+UTF8_CHAINS = [c for c in CHAINS if CHAINS[c][0][0] == "utf-8"]
+OTHER_CHAINS = [c for c in CHAINS if CHAINS[c][0][0] != "utf-8"]
+#: Words with a sign that has a byte in an encoding that texts are wrongly read in.
+ODD_WORD = re.compile("\\S*[" + re.escape("".join(sorted({chr(c) for x in OTHER_CHAINS for c in byte_table(CHAINS[x][-1][1])}))) + "]\\S*")
+
+
 def proposals(text: str, model: CharacterModel) -> list[tuple[str, float]]:
     """(chain, log-likelihood ratio to the text as stored) of every chain that helps some line."""
+    likely = [c for c in UTF8_CHAINS if utf8_signs(CHAINS[c][-1][1]).search(text)]
+    helped: set[str] = set()
+    for word in set(ODD_WORD.findall(text)):
+        chains = model.words.get(word)
+        if chains is None:
+            if len(model.words) > 300_000:
+                model.words.clear()
+            chains = model.words[word] = tuple(c for c in OTHER_CHAINS if any(g > 0 for *_, g in gains(f" {word} ", c, model)))
+        helped.update(chains)
+    likely += [c for c in OTHER_CHAINS if c in helped]
+    if not likely:
+        return []
     lines = [x for x in text.split("\n") if BEYOND.search(x)]
     out = []
-    for chain in CHAINS:
+    for chain in likely:
         gain = sum(g for x in lines for *_, g in helpful(x, chain, model))
         if gain > 0:
             out.append((chain, gain))
     return out
 
 
+def gains(line: str, chain: str, model: CharacterModel) -> list[tuple[int, int, str, list[int], float]]:
+    """The parts of a line that a chain may have made, each with how much better it reads before."""
+    return [(s, e, was, widths, model.gain(line[s - 1] if s else "\n", line[s:e], was, line[e : e + 1] or "\n")) for s, e, was, widths in undo_chain(line, chain)]
+
+
 def helpful(line: str, chain: str, model: CharacterModel, start_cost: float = 3.0) -> list[tuple[int, int, str, list[int], float]]:
     """The parts of a line that read better before the chain, each with its gain.
 
     Parts of UTF-8 speak for themselves. Between single-byte encodings every word could be one, so they count in stretches
     of neighbouring words, as long as the whole stretch gains more than ``start_cost``.
     """
-    parts = []
-    for s, e, was, widths in undo_chain(line, chain):
-        before, after = line[s - 1] if s else "\n", line[e : e + 1] or "\n"
-        parts.append((s, e, was, widths, model.gain(before, line[s:e], was, after)))
+    parts = gains(line, chain, model)
     if CHAINS[chain][0][0] == "utf-8" or len(parts) == 0:
         return [p for p in parts if p[-1] > 0]
     out, first = [], 0
