@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import encodings, leakage, lookalike, mapping, packing, sentences, spans
+from wardloom.llm import encodings, languages, leakage, lookalike, mapping, packing, sentences, spans
 from wardloom.session import cut, table
 
 
@@ -54,6 +54,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encodings.found(_requests(spark, sf_dir), ["src_table", "request_id"])
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = languages.trained(docs)
+    told = cut(languages.document_languages(docs, net).where("language is not null").groupBy("doc_id").agg(F.max_by("language", "confidence").alias("language")))
+
+    def wrong(df: DataFrame, name: str, key: str, label: str) -> DataFrame:
+        rows = df.select(F.col(key).cast("string").alias("record_key"), "doc_id", languages.code(F.col(label)).alias("had")).distinct().join(told, "doc_id")
+        return rows.where(~F.col("had").eqNullSafe(F.col("language"))).select(F.lit(name).alias("src_table"), "record_key", F.lit(0).alias("start_pos"), "language").distinct()
+
+    results, matrix = table(spark, sf_dir, "understanding_results"), table(spark, sf_dir, "test_matrix")
+    out = wrong(docs, "documents", "doc_id", "lang").unionByName(wrong(results, "understanding_results", "result_id", "language")).unionByName(wrong(matrix, "test_matrix", "case_id", "language"))
+    mended = _mended_requests(spark, sf_dir)
+    units = sentences.texts_of_units(mended, "request_id", at="at")
+    parts = languages.segments(units, net).select(F.lit("text_requests").alias("src_table"), F.col("request_id").cast("string").alias("record_key"), "start_pos", "language")
+    return out.unionByName(parts)
+
+
 def p7_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -70,5 +87,5 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p7_packs, p8_found, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p7_packs, p8_found, p9_found, p9_shared)}
 SQL: dict[str, str] = {}

@@ -9,8 +9,10 @@ a block is classified by these statistics. Marks of other scripts, quotations an
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -23,7 +25,8 @@ TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.'’\-/,:]{1,2}[\p{L}\p{M}\p{N}]+
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}][^\s]*|[^\s\p{L}\p{N}]+")
 ITEM = regex.compile(r"\s*(?:[-–—•*·▪●○‣◦⁃+]|\(?(?:\d{1,3}|[٠-٩۰-۹०-९๐-๙]{1,3})[.)]|\(?[A-Za-z]\))[ \t\u00a0]+(?=\S)")
 MARK = "!?؟。！？।॥۔｡‼⁇⁈⁉"
-FINAL = regex.compile(rf"[.{MARK}…][\"'”’“»«」』›)\]}}]*\s*$")
+ENDS = tuple("." + MARK + "…")
+ENCLOSING = re.compile(r"[\"'“”‘’«»「」『』„‚‹›()（）\[\]{}]")
 STOP = regex.compile(rf"\.{{2,}}|…+|[.{MARK}]+")
 LABEL = regex.compile(r"\s*([^\s:：\d][^:：\d]{0,39}?)\s*[:：]\s*(\S.*)$")
 OPENING, CLOSING = "“‘«「『„‚‹（([{", "”’»」』“‘›）)]}"
@@ -37,18 +40,30 @@ FUNCTION_WORDS = {
 LATIN = {*FUNCTION_WORDS, "Latin"}
 LANGUAGE_OF = {w: [k for k, v in FUNCTION_WORDS.items() if w in v.split()] for w in " ".join(FUNCTION_WORDS.values()).split()}
 VOWEL = regex.compile(r"[^\p{Latin}]|[aeiouyäöüáéíóúàèùâêîôûœ]")
-SCRIPTS = [(n, regex.compile(rf"\p{{{n}}}")) for n in ("Arabic", "Devanagari", "Thai", "Han", "Hiragana", "Katakana", "Cyrillic", "Greek", "Hangul", "Hebrew")]
+OTHER_LETTERS = re.compile("[\u0370-\uffff]")
+SCRIPTS = {
+    "Greek": "\u0370-\u03ff", "Cyrillic": "\u0400-\u052f", "Hebrew": "\u0590-\u05ff", "Arabic": "\u0600-\u06ff\u0750-\u077f\ufb50-\ufdff\ufe70-\ufefe",
+    "Devanagari": "\u0900-\u097f", "Thai": "\u0e00-\u0e7f", "Hiragana": "\u3041-\u30ff", "Hangul": "\uac00-\ud7a3", "Han": "\u3400-\u9fff",
+}
+SCRIPT_OF = [(n, re.compile(f"[{r}]")) for n, r in SCRIPTS.items()]
+
 
+@lru_cache(maxsize=20_000)
+def script(c: str) -> str:
+    return next((n for n, r in SCRIPT_OF if r.match(c)), "")
 
+
+@lru_cache(maxsize=4096)
 def statistics_language(line: str) -> str:
     """The script of a line, or for Latin letters the language whose function words it has most of."""
     votes: Counter = Counter()
-    for n, r in SCRIPTS:
-        k = len(r.findall(line))
-        if k:
-            votes[n] = k
-    if votes and votes.most_common(1)[0][1] * 3 > len(line):
-        return votes.most_common(1)[0][0]
+    if not line.isascii() and (signs := OTHER_LETTERS.findall(line)):
+        for c, n in Counter(signs).items():
+            votes[script(c)] += n
+        del votes[""]
+        best = votes.most_common(1)
+        if best and best[0][1] * 3 > len(line):
+            return "Hiragana" if votes["Hiragana"] else best[0][0]
     votes = Counter(k for w in line.lower().split() for k in LANGUAGE_OF.get(w, ()))
     return votes.most_common(1)[0][0] if votes else "Latin"
 
@@ -61,10 +76,16 @@ def lines_of(text: str) -> list[tuple[int, str]]:
     return out
 
 
+def final(line: str) -> bool:
+    """Whether a line ends with a final mark, closing signs aside."""
+    return line.rstrip().rstrip("\"'”’“»«」』›)]}").endswith(ENDS)
+
+
 def folded(line: str) -> str:
     return " ".join(line.casefold().rstrip(" \t\r:：").split())
 
 
+@lru_cache(maxsize=200_000)
 def kind(token: str) -> str:
     body = regex.split(r"['’]", token.rstrip(".").casefold())[-1]
     return "0" if body[:1].isdigit() and not any(c.isalpha() for c in body) else body
@@ -91,15 +112,15 @@ def count_text(text: str) -> Iterator[tuple[str, str, str, str]]:
         words = line.split()
         yield lang, "lines", "", ""
         if not ITEM.match(line):
-            yield lang, "resumes" if last.strip() and not FINAL.search(last) else "opens", opening(line), ""
-        if not FINAL.search(line):
+            yield lang, "resumes" if last.strip() and not final(last) else "opens", opening(line), ""
+        if not final(line):
             if len(words) <= 7 and not ITEM.match(line):
                 yield lang, "alone", folded(line), ""
-        if FINAL.search(line) or len(words) > 7:
+        if final(line) or len(words) > 7:
             for n in range(1, min(7, len(words))):
                 yield lang, "begins", with_colon(" ".join(words[:n])), ""
         if m := LABEL.match(line):
-            yield lang, "label final" if FINAL.search(line) else "label open", folded(m.group(1)), ""
+            yield lang, "label final" if final(line) else "label open", folded(m.group(1)), ""
         tokens = [m for m in TOKEN.finditer(line)]
         for m, nxt in zip(tokens, [*tokens[1:], None]):
             t = m.group()
@@ -258,12 +279,12 @@ def blocks(text: str, s: Statistics) -> Iterator[tuple[int, int, bool, str]]:
             item_open, open_end, open_lang = start, end, lang
             continue
         if item_open >= 0:
-            if first.islower() and not FINAL.search(text[item_open:open_end]):  # the item goes on
+            if first.islower() and not final(text[item_open:open_end]):  # the item goes on
                 open_end = end
                 continue
             yield item_open, open_end, True, open_lang
             item_open = -1
-        goes_on = open_at >= 0 and not FINAL.search(text[open_at:open_end])
+        goes_on = open_at >= 0 and not final(text[open_at:open_end])
         if goes_on and _starts_anew(text[open_at:open_end], line, lang, s):  # the mark before is missing
             yield from flush()
             goes_on = False
@@ -291,7 +312,7 @@ def _starts_anew(unfinished: str, line: str, lang: str, s: Statistics) -> bool:
 
 def _alone(line: str, following: str, goes_on: bool, lang: str, s: Statistics) -> bool:
     """Whether a line is a heading or a label with its value."""
-    if FINAL.search(line):
+    if final(line):
         return False
     key = folded(line)
     words = line.split()
@@ -317,7 +338,7 @@ def _alone(line: str, following: str, goes_on: bool, lang: str, s: Statistics) -
 def enclosed(text: str, start: int, end: int) -> list[tuple[int, int, bool]]:
     """(opening, closing, is quotation) of matched quotations and brackets, outermost first."""
     out, stack = [], []
-    for m in regex.finditer(r"[\"'“”‘’«»「」『』„‚‹›()（）\[\]{}]", text, pos=start, endpos=end):
+    for m in ENCLOSING.finditer(text, start, end):
         i, c = m.start(), m.group()
         before = text[i - 1] if i > start else " "
         after = text[i + 1] if i + 1 < end else " "
@@ -381,7 +402,7 @@ def split_block(text: str, start: int, end: int, lang: str, s: Statistics) -> It
                 continue
         elif mark == ".":
             if not gap and not closed:
-                if not (nxt and regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", nxt)):
+                if not (nxt and UNSPACED.match(nxt)):
                     continue
             if not closed:
                 t = None
@@ -398,13 +419,14 @@ def split_block(text: str, start: int, end: int, lang: str, s: Statistics) -> It
                             continue
                     elif x == "0" and len(w) <= 4 and w.isalpha() and lang in LATIN and any((w, x) in s.collocations.get(g, ()) for g in (lang, here)):
                         continue
-        elif not gap and not closed and mark in "!?" and nxt.isalnum() and not regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}]", nxt):
+        elif not gap and not closed and mark in "!?" and nxt.isalnum() and not UNSPACED.match(nxt):
             continue
         yield at, i
         at = i
     yield at, end
 
 
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 THAI = regex.compile(r"(?<=[\p{Thai}\p{N}\])»”\"])\s+(?=[\p{Thai}\[(«“\"])")
 
 
@@ -456,3 +478,17 @@ def sentence_units(df: DataFrame, key: str, text: str = "text", at: str | None =
             yield pd.DataFrame(rows, columns=[key, "start_pos", "end_pos"])
 
     return src.mapInPandas(run, f"{key} {dict(src.dtypes)['k']}, start_pos int, end_pos int")
+
+
+def texts_of_units(df: DataFrame, key: str, text: str = "text", at: str | None = None, statistics: Statistics | None = None) -> DataFrame:
+    """(key, units): the units of every text in order, each with its offsets as in ``sentence_units`` and its text."""
+    stats = statistics or learned(df, text)
+    has = F.col(at) if at else F.lit(None).cast("array<int>")
+    src = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t"), has.alias("at")).where("k is not null and t is not null").dropDuplicates(["k", "t"]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, [{"start_pos": x if m is None else int(m[x]), "end_pos": y if m is None else int(m[y]), "text": t[x:y]} for x, y in units(t, stats)]) for k, t, m in b.itertuples(index=False, name=None)]
+            yield pd.DataFrame(rows, columns=[key, "units"])
+
+    return src.mapInPandas(run, f"{key} {dict(src.dtypes)['k']}, units array<struct<start_pos:int,end_pos:int,text:string>>")
