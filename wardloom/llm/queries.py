@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.llm import encodings, languages, leakage, lookalike, mapping, packing, sentences, spans
+from wardloom.llm import encodings, languages, leakage, lookalike, mapping, packing, personal, sentences, spans
 from wardloom.session import cut, table
 
 
@@ -71,6 +71,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(parts)
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src = table(spark, sf_dir, "deid_requests").select(F.lit("deid_requests").alias("src_table"), F.col("request_id").alias("row_id"), "source", "text")
+    mended = encodings.repaired(src, ["src_table", "row_id"]).select("src_table", "row_id", "text", "at")
+    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("src_table"), F.col("doc_id").alias("row_id"), "text", F.lit(None).cast("array<int>").alias("at"))
+    return personal.personal_spans(cut(mended).unionByName(docs), ["src_table", "row_id"], at="at")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).distinct()
+
+
+def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "deid_requests").select(F.lit("deid_requests").alias("src_table"), F.col("request_id").alias("row_id"), "text").distinct()
+    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("src_table"), F.col("doc_id").alias("row_id"), "text")
+    return personal.masked(rows.unionByName(docs), cut(_personal(spark, sf_dir)), ["src_table", "row_id"]).drop("text")
+
+
 def p7_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -87,5 +104,5 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p7_packs, p8_found, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p6_masked, p7_packs, p8_found, p9_found, p9_shared)}
 SQL: dict[str, str] = {}
