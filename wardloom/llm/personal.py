@@ -174,6 +174,7 @@ def name_votes(text: str, s: int, e: int, lists: Lists) -> list[int]:
         NAME if last in TITLE_SET and re.search(r"[\s.:]$", lead) else ABSTAIN,
         NAME if last in NAME_SET and (text[s - 2 : s - 1] in ":=-," or "=" in lead or known) else ABSTAIN,
         NONE if EPONYM.match(text, e) or last in ("st", "saint", "são") or not parts else ABSTAIN,
+        NONE if len(parts) == 1 and last in ("from", "in", "near", "aus", "de", "à", "en", "um", "von") and not re.search(r"[.:]\s?$", lead) else ABSTAIN,
         NONE if re.match(r"[:=]|\s*\d", text[e : e + 2]) and known < len(parts) else ABSTAIN,
         NAME if re.search(r"(?:^|\s)\w\.(?:\s|$)", text[s:e]) and not common else ABSTAIN,
     ]
