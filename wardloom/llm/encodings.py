@@ -164,6 +164,19 @@ class CharacterModel:
         return known
 
 
+_KEPT: dict[int, CharacterModel] = {}
+
+
+def kept(model: CharacterModel) -> CharacterModel:
+    """One copy of a model, with what it remembers, for all tasks of a Python worker."""
+    k = hash((model.pairs.sum(dtype="float64"), model.single.tobytes()))
+    if k not in _KEPT:
+        if len(_KEPT) > 1:
+            _KEPT.clear()
+        _KEPT[k] = model
+    return _KEPT[k]
+
+
 def character_model(texts: DataFrame, text: str = "text") -> CharacterModel:
     """Counted over all ``texts``; what comes to the driver has a fixed size."""
 
@@ -207,15 +220,30 @@ def utf8_signs(read: str) -> re.Pattern:
 
 UTF8_CHAINS = [c for c in CHAINS if CHAINS[c][0][0] == "utf-8"]
 OTHER_CHAINS = [c for c in CHAINS if CHAINS[c][0][0] != "utf-8"]
-#: Words with a sign that has a byte in an encoding that texts are wrongly read in.
-ODD_WORD = re.compile("\\S*[" + re.escape("".join(sorted({chr(c) for x in OTHER_CHAINS for c in byte_table(CHAINS[x][-1][1])}))) + "]\\S*")
+#: Signs that have a byte in an encoding that texts are wrongly read in.
+ODD_SIGNS = frozenset(chr(c) for x in OTHER_CHAINS for c in byte_table(CHAINS[x][-1][1]))
+
+
+@lru_cache(maxsize=None)
+def leads(read: str) -> tuple[frozenset[str], frozenset[str]]:
+    """The signs that begin, and those that go on, a character of UTF-8 read in another encoding."""
+    t = byte_table(read)
+    return frozenset(chr(c) for c, b in t.items() if b >= 0xC2), frozenset(chr(c) for c, b in t.items() if b < 0xC0)
 
 
 def proposals(text: str, model: CharacterModel) -> list[tuple[str, float]]:
     """(chain, log-likelihood ratio to the text as stored) of every chain that helps some line."""
-    likely = [c for c in UTF8_CHAINS if utf8_signs(CHAINS[c][-1][1]).search(text)]
+    signs = set(text)
+    likely = []
+    for c in UTF8_CHAINS:
+        read = CHAINS[c][-1][1]
+        first, more = leads(read)
+        if not first.isdisjoint(signs) and not more.isdisjoint(signs) and utf8_signs(read).search(text):
+            likely.append(c)
     helped: set[str] = set()
-    for word in set(ODD_WORD.findall(text)):
+    for word in () if ODD_SIGNS.isdisjoint(signs) else set(text.split()):
+        if word.isascii() or ODD_SIGNS.isdisjoint(word):
+            continue
         chains = model.words.get(word)
         if chains is None:
             if len(model.words) > 300_000:
@@ -275,8 +303,9 @@ def weighed(df: DataFrame, key: list[str], text: str, source: str, model: Charac
     shape = ", ".join(f"{k} {kinds[k]}" for k in key) + ", source string, made array<struct<chain:string,gain:double>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = kept(model)
         for b in batches:
-            rows = [(*r[:-1], [{"chain": c, "gain": g} for c, g in proposals(r[-1], model)]) for r in b.itertuples(index=False, name=None)]
+            rows = [(*r[:-1], [{"chain": c, "gain": g} for c, g in proposals(r[-1], m)]) for r in b.itertuples(index=False, name=None)]
             yield pd.DataFrame(rows, columns=[*key, "source", "made"])
 
     found = cut(src.mapInPandas(run, shape))  # texts that no chain could have made count in the priors

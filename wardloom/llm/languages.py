@@ -40,7 +40,7 @@ class ByteGru:
 
     def __init__(self, hidden: int = 20, classes: int = len(LANGUAGES), seed: int = 5):
         r = np.random.default_rng(seed)
-        self.hidden = hidden
+        self.hidden, self.only_read = hidden, False
         w = lambda *s: (r.standard_normal(s) * 0.2).astype("float32")
         u = lambda: np.concatenate([np.linalg.qr(r.standard_normal((hidden, hidden)))[0] for _ in range(3)], 1).astype("float32")
         self.p = {"xf": w(256, 3 * hidden), "uf": u(), "xb": w(256, 3 * hidden), "ub": u(), "o": w(2 * hidden, classes), "c": np.zeros(classes, "float32")}
@@ -51,13 +51,15 @@ class ByteGru:
         steps, batch = x.shape
         h, out, kept = np.zeros((batch, n), "float32"), np.empty((steps, batch, n), "float32"), []
         live = (x > 0).astype("float32")[..., None]
+        keep = not self.only_read
         for t in range(steps - 1, -1, -1) if back else range(steps):
             a, g = h3[t], h @ u
             zr = 1 / (1 + np.exp(-(a[:, : 2 * n] + g[:, : 2 * n])))
             z, r = zr[:, :n], zr[:, n:]
             c = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
             new = h + live[t] * (1 - z) * (c - h)
-            kept.append((t, h, z, r, c, g[:, 2 * n :]))
+            if keep:
+                kept.append((t, h, z, r, c, g[:, 2 * n :]))
             h = out[t] = new
         return out, kept
 
@@ -68,7 +70,9 @@ class ByteGru:
         return s @ self.p["o"] + self.p["c"], (s, kf, kb)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
+        self.only_read = True
         y, _ = self.logits(x)
+        self.only_read = False
         e = np.exp(y - y.max(-1, keepdims=True))
         return e / e.sum(-1, keepdims=True)
 
@@ -135,15 +139,27 @@ class Labeler:
             new = list(dict.fromkeys(keys))
         stretches = [(k, b[i : i + STRETCH]) for k in new for b in (k.encode("utf-8", "replace"),) for i in range(0, max(1, len(b)), STRETCH)]
         stretches.sort(key=lambda x: len(x[1]))
-        for i in range(0, len(stretches), 256):
-            part = stretches[i : i + 256]
+        for i in range(0, len(stretches), 512):
+            part = stretches[i : i + 512]
             x = packed_bytes([b for _, b in part])
-            total = (np.log(self.net.probabilities(x) + 1e-4) * (x > 0)[..., None]).sum(0)
+            total = (np.log(self.net.probabilities(x) + np.float32(1e-4)) * (x > 0)[..., None]).sum(0)
             for (k, _), e in zip(part, total):
                 self.seen[k] = self.seen[k] + e if k in self.seen else e
         return np.array([self.seen[k] for k in keys]).reshape(len(keys), len(LANGUAGES))
 
 
+_KEPT: dict[int, Labeler] = {}
+
+
+def labeler(net: ByteGru) -> Labeler:
+    """One labeler for all tasks of a Python worker, as long as the network is the same."""
+    k = hash(net.p["o"].tobytes())
+    if k not in _KEPT:
+        _KEPT.clear()
+        _KEPT[k] = Labeler(net)
+    return _KEPT[k]
+
+
 def trained(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 250) -> ByteGru:
     """A network fitted on about ``per_language`` documents of each label, chosen by a hash of their ids; nothing else is sampled.
 
@@ -207,7 +223,7 @@ def document_languages(docs: DataFrame, net: ByteGru, doc_id: str = "doc_id", te
     src = spread(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("d is not null"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lab = Labeler(net)
+        lab = labeler(net)
         for b in batches:
             for x in _chunks(b, b["t"].str.len().fillna(0)):
                 found = pooled(x["t"].tolist(), lab, least)
@@ -241,7 +257,7 @@ def segments(units: DataFrame, net: ByteGru, key: str = "request_id") -> DataFra
     src = spread(units.select(F.col(key).alias("k"), "units"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lab = Labeler(net)
+        lab = labeler(net)
         for b in batches:
             rows, at = [], 0
             keys = [" ".join(sentences_of(u["text"])) for us in b["units"] for u in us]
