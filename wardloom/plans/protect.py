@@ -1,0 +1,129 @@
+"""De-identification by rules: detect, settle overlaps, decide by policy, rewrite."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from wardloom.functions.scalars import digits_folded, transformed
+from wardloom.operators.spans import extracted, greedy, rewritten
+
+# Blanks, the separator of a label and its value, and the classes of values.
+BLANK = "[\\s  -     　]"
+SEPARATOR = f"{BLANK}*(?:[:#=]|[-–—])?{BLANK}*"
+DIGIT = "[0-9٠-٩۰-۹]"
+PHONE = f"(?:\\+{BLANK}*)?{DIGIT}(?:(?:{BLANK}|[().\\-/])*{DIGIT}){{6,14}}"
+EMAIL = "[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}"
+IDENTIFIER = "[A-Za-z0-9][A-Za-z0-9._/\\-]{2,}"
+LINE_VALUE = "[^\\r\\n:]{2,120}?"
+# Labels of fields in English and Arabic, the type of their value, and its class.
+NUMBER_OR_NO = f"{BLANK}*(?:number|no\\.?)"
+NUMBER_NO_ID = f"{BLANK}*(?:number|no\\.?|id)"
+FIELDS = [
+    ("patient_name_field", "patient_name", f"patient{BLANK}+name|deceased{BLANK}+name|اسم{BLANK}+المريض|اسم{BLANK}+المتوف(?:ى|اة)", LINE_VALUE),
+    ("phone_field", "phone_number", f"(?:phone|telephone|mobile|cell|tel)(?:{NUMBER_OR_NO})?|contact{NUMBER_OR_NO}|(?:رقم{BLANK}*)?(?:الهاتف|هاتف|الجوال|جوال|الموبايل|موبايل)", PHONE),
+    ("email_field", "email", f"e[\\s\\-]?mail(?:{BLANK}*address)?|البريد{BLANK}+(?:الإلكتروني|الالكتروني)", EMAIL),
+    ("civil_id_field", "civil_id", f"civil{BLANK}*(?:id|i\\.d\\.)|civil{BLANK}+number|cid|الرقم{BLANK}+المدني|رقم{BLANK}+مدني", f"{DIGIT}{{12}}"),
+    ("mrn_field", "mrn", f"mrn|(?:medical|patient){BLANK}+record{BLANK}+(?:number|no\\.?)|رقم{BLANK}+الملف{BLANK}+الطبي|رقم{BLANK}+الملف", IDENTIFIER),
+    ("visit_number_field", "visit_number", f"(?:visit|encounter){NUMBER_NO_ID}|رقم{BLANK}+الزيارة", IDENTIFIER),
+    ("accession_number_field", "accession_number", f"accession(?:{NUMBER_NO_ID})?|رقم{BLANK}+الأكسشن|رقم{BLANK}+الاكسشن", IDENTIFIER),
+    ("specimen_number_field", "specimen_number", f"(?:specimen|sample){NUMBER_NO_ID}|رقم{BLANK}+العينة", IDENTIFIER),
+    ("lab_number_field", "lab_number", f"lab(?:oratory)?{NUMBER_NO_ID}|رقم{BLANK}+(?:المختبر|المعمل)", IDENTIFIER),
+    ("document_id_field", "document_id", f"(?:document|report|form|signature){NUMBER_NO_ID}|رقم{BLANK}+(?:المستند|التقرير)", IDENTIFIER),
+    ("record_checksum_field", "document_id", f"record{BLANK}+(?:checksum|hash)|(?:document|report){BLANK}+checksum|بصمة{BLANK}+(?:السجل|المستند|التقرير)", IDENTIFIER),
+    ("insurance_number_field", "insurance_number", f"insurance{NUMBER_NO_ID}|policy{NUMBER_OR_NO}|رقم{BLANK}+التأمين", IDENTIFIER),
+    ("employee_number_field", "employee_number", f"(?:employee|staff){NUMBER_NO_ID}|(?:medical|professional){BLANK}+license{NUMBER_NO_ID}|رقم{BLANK}+الموظف", IDENTIFIER),
+    ("student_number_field", "student_number", f"(?:student|school){NUMBER_NO_ID}|رقم{BLANK}+الطالب", IDENTIFIER),
+]
+
+
+def field_pattern(label: str, value: str) -> str:
+    """Group 1 is all before the value, group 2 the value."""
+    tail = f"{BLANK}*(?:\\r?\\n|$)" if value == LINE_VALUE else ""
+    return f"(?i)((?:{label}){SEPARATOR})({value}){tail}"
+
+
+FIELD_RULES = [(name, kind, "field_rule", field_pattern(label, value), 1, 2) for name, kind, label, value in FIELDS]
+EMAIL_RULE = ("inline_email", "email", "inline_rule", EMAIL, 0, 0)
+PHONE_RULE = ("inline_phone", "phone_number", "inline_rule", f"\\+965(?:{BLANK}|[.\\-])*(?:{DIGIT}(?:{BLANK}|[.\\-])?){{7}}{DIGIT}", 0, 0)
+# Inline identifiers, prefix included.
+INLINE_RULES = [
+    ("inline_mrn", "mrn", "inline_rule", "\\bMRN[-: ][A-Za-z0-9-]+", 0, 0), ("inline_visit", "visit_number", "inline_rule", "\\bVIS[-: ][A-Za-z0-9-]+", 0, 0),
+    ("inline_accession", "accession_number", "inline_rule", "\\bACC[-: ][A-Za-z0-9-]+", 0, 0), ("inline_specimen", "specimen_number", "inline_rule", "\\bSP[-: ][A-Za-z0-9-]+", 0, 0),
+    ("inline_lab", "lab_number", "inline_rule", "\\bLAB[-:][A-Za-z0-9-]+", 0, 0),
+]
+# Priorities of sources, decisions and types in settling overlaps.
+SOURCE_PRIORITY = {"field_rule": 100, "arabic_rule": 95, "inline_rule": 90, "ner": 60, "external": 50, "unknown": 10}
+DECISION_PRIORITY = {"accept": 100, "keep": 90, "review_required": 70, "pending": 50, "reject": 10}
+IDENTIFIERS = ["civil_id", "mrn", "visit_number", "accession_number", "specimen_number", "lab_number", "document_id", "insurance_number", "employee_number", "student_number"]
+TYPE_PRIORITY = {
+    **dict.fromkeys([*IDENTIFIERS, "phone_number", "email", "patient_name"], 100),
+    **dict.fromkeys(["guardian_name", "relative_name", "employee_name", "student_name", "physician_name", "nurse_name", "address", "date_of_birth"], 95),
+    "person_name": 70, **dict.fromkeys(["professional_role", "organization", "location", "general_date"], 40), "unknown": 10,
+}
+# What each policy does with each type.
+NAMES = ["person_name", "patient_name", "guardian_name", "relative_name", "employee_name", "student_name"]
+DATES = ["admission_date", "discharge_date", "collection_date", "exam_date", "general_date"]
+POLICY = [  # types, clinical, research, analytics_public_health, strict_privacy
+    (NAMES, "replace", "replace", "replace", "remove"), (["physician_name", "nurse_name"], "keep", "remove", "remove", "remove"), (IDENTIFIERS, "hash", "hash", "hash", "remove"),
+    (["phone_number", "email", "address"], "replace", "remove", "remove", "remove"), (["date_of_birth"], "keep", "remove", "remove", "remove"), (DATES, "keep", "remove", "remove", "remove"),
+    (["organization", "location"], "keep", "keep", "keep", "remove"), (["professional_role"], "keep", "keep", "keep", "keep"), (["unknown"], "mask", "remove", "remove", "remove"),
+]
+PROFILES = ("clinical", "research", "analytics_public_health", "strict_privacy")
+
+
+def policy_rows() -> list[tuple[str, str, str]]:
+    return [(p, t, row[1 + i]) for row in POLICY for t in row[0] for i, p in enumerate(PROFILES)]
+
+
+def lookup(values: dict[str, int], column: Column, default: int) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[column], F.lit(default))
+
+
+def actions(profile: str, kind: Column) -> Column:
+    """The action of ``profile`` for a type; types that it doesn't name are kept."""
+    if profile not in PROFILES:
+        raise ValueError(f"unknown profile {profile}")
+    return F.coalesce(F.create_map(*[F.lit(x) for p, t, a in policy_rows() if p == profile for x in (t, a)])[kind], F.lit("keep"))
+
+
+def detected(df: DataFrame, keys: list[str], text: str = "text", rules: list | None = None) -> DataFrame:
+    """The strongest candidate of each span and type: fields before inline rules."""
+    spans = extracted(df, keys, text, rules or [*FIELD_RULES, EMAIL_RULE, PHONE_RULE, *INLINE_RULES])
+    best = F.min_by(F.struct("rule", "source", "seq", "value"), F.struct(-lookup(SOURCE_PRIORITY, F.col("source"), 0), F.col("seq")))
+    return spans.groupBy(*keys, "start_pos", "end_pos", "kind").agg(best.alias("b")).select(*keys, "start_pos", "end_pos", "kind", "b.rule", "b.source", "b.seq", "b.value")
+
+
+def decision(kind: Column, value: Column) -> Column:
+    """Accept, reject or review a candidate by its type and value."""
+    v = digits_folded(F.trim(value))
+    only = F.regexp_replace(v, "[^0-9]", "")
+    return (
+        F.when(v.rlike(r"^\[[A-Za-z_]+\]$"), "reject")
+        .when(kind == "phone_number", F.when(F.length(only).between(7, 15), "accept").otherwise("reject"))
+        .when(kind == "email", F.when(v.rlike(f"^{EMAIL}$"), "accept").otherwise("reject"))
+        .when(kind == "civil_id", F.when(v.rlike("^[0-9]{12}$"), "accept").otherwise("reject"))
+        .when(kind.isin(*IDENTIFIERS), F.when((F.length(v) >= 4) & v.rlike("[0-9]"), "accept").otherwise("reject"))
+        .when(kind.isin("patient_name", "guardian_name", "relative_name", "employee_name", "student_name", "physician_name", "nurse_name", *DATES), "accept")
+        .otherwise("review_required")
+    )
+
+
+def settled(found: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, spans: the spans of each text without overlaps, the strongest first served: by score, then length, then start."""
+    scored = found.withColumn("decision", decision(F.col("kind"), F.col("value"))).withColumn("score", lookup(SOURCE_PRIORITY, F.col("source"), 0) + lookup(DECISION_PRIORITY, F.col("decision"), 0) + lookup(TYPE_PRIORITY, F.col("kind"), 0) + 10)
+    order = F.struct((-F.col("score")).alias("a"), (F.col("start_pos") - F.col("end_pos")).alias("b"), "start_pos", "seq", "end_pos", "kind", "value", "decision", "rule")
+    return scored.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("all")).select(*keys, greedy(F.col("all")).alias("spans"))
+
+
+def deidentified(df: DataFrame, keys: list[str], profile: str, text: str = "text") -> DataFrame:
+    """keys, n_spans, n_review, safe, protected: the text of each row under a policy; accepted spans are transformed, others stay.
+
+    Rows with null text come out with a null text; texts without spans as they are.
+    """
+    spans = settled(detected(df, keys, text), keys)
+    act = F.transform(F.filter("spans", lambda x: x["decision"] == "accept"), lambda x: F.struct(x["start_pos"].alias("start_pos"), x["end_pos"].alias("end_pos"), transformed(x["value"], x["kind"], actions(profile, x["kind"])).alias("replacement")))
+    made = spans.select(*keys, act.alias("acts"), F.size(F.filter("spans", lambda x: x["decision"] == "review_required")).alias("n_review"))
+    out = df.select(*keys, F.col(text).alias("_t")).distinct().join(made, keys, "left")
+    review = F.coalesce("n_review", F.lit(0))
+    return out.select(*keys, F.coalesce(F.size("acts"), F.lit(0)).alias("n_spans"), review.alias("n_review"), (review == 0).alias("safe"), F.when(F.col("acts").isNull(), F.col("_t")).otherwise(rewritten(F.col("_t"), F.col("acts"))).alias("protected"))
