@@ -32,9 +32,12 @@ def resolved(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str =
     """
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_؀-ۿ]+"), F.lit(0))
     src = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), words.alias("w"))
-    runs = [F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.array_join(F.slice("w", i, n), " ")) for n in range(1, widest + 1)]
-    each = [F.when(F.size("w") >= n, r).otherwise(F.array().cast("array<string>")) for n, r in zip(range(1, widest + 1), runs)]
-    grams = src.select("k", F.explode(F.concat(*each)).alias("term"))
+
+    def runs(n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
+        return F.when(F.size("w") >= n, found).otherwise(F.array().cast("array<string>"))
+
+    grams = src.select("k", F.explode(F.concat(*[runs(n) for n in range(1, widest + 1)])).alias("term"))
     return grams.join(terms, "term").groupBy(F.col("k").alias(key), "concept_id", "term").agg(F.count("*").alias("n"))
 
 

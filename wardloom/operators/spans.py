@@ -32,7 +32,12 @@ def extracted(df: DataFrame, keys: list[str], text: str, rules: list[tuple[str,
 
     Null texts have none. ``seq`` is the rule's number, which settles ties.
     """
-    each = [F.transform(located(F.col(text), p, lead, value), lambda x, n=n, k=k, s=s, i=i: F.struct(F.lit(i).alias("seq"), F.lit(n).alias("rule"), F.lit(k).alias("kind"), F.lit(s).alias("source"), x["start_pos"].alias("start_pos"), x["end_pos"].alias("end_pos"), x["value"].alias("value"))) for i, (n, k, s, p, lead, value) in enumerate(rules)]
+    def tagged(seq: int, rule: tuple[str, str, str, str, int, int]) -> Column:
+        name, kind, source, pattern, lead, value = rule
+        tags = [F.lit(seq).alias("seq"), F.lit(name).alias("rule"), F.lit(kind).alias("kind"), F.lit(source).alias("source")]
+        return F.transform(located(F.col(text), pattern, lead, value), lambda x: F.struct(*tags, x["start_pos"].alias("start_pos"), x["end_pos"].alias("end_pos"), x["value"].alias("value")))
+
+    each = [tagged(i, r) for i, r in enumerate(rules)]
     return df.where(F.col(text).isNotNull()).select(*keys, F.inline(F.concat(*each)))
 
 
