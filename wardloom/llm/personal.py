@@ -382,7 +382,7 @@ def personal_spans(df: DataFrame, keys: list[str], text: str = "text", at: str |
     All candidates count in the estimate of the labelers' reliabilities; the span classifier is fitted to about ``sample`` of
     them, those of texts chosen by a hash of their keys. Null and empty texts have no spans; rows that repeat keys and text are one.
     """
-    src = df.select(*keys, text, *([at] if at else [])).dropDuplicates([*keys, text])
+    src = df.select(*keys, text, *([at] if at else []))
     lists = learned_lists(src, text)
     found = cut(proposed(src, keys, text, lists, at))
     each = found.select(F.explode("spans").alias("x"))
@@ -418,7 +418,8 @@ def personal_spans(df: DataFrame, keys: list[str], text: str = "text", at: str |
                         rows.append((*k, x["s"], x["e"], TYPES[t]))
             yield pd.DataFrame(rows, columns=[*keys, "start_pos", "end_pos", "pii_type"])
 
-    return found.mapInPandas(decide, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", start_pos int, end_pos int, pii_type string")
+    out = found.mapInPandas(decide, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", start_pos int, end_pos int, pii_type string")
+    return out.distinct()  # whole texts aren't shuffled to find repeated rows; their spans are
 
 
 def masked(df: DataFrame, spans: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
