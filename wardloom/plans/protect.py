@@ -13,7 +13,7 @@ BLANK = "[\\s  -     　]"
 SEPARATOR = f"{BLANK}*(?:[:#=]|[-–—])?{BLANK}*"
 DIGIT = "[0-9٠-٩۰-۹]"
 PHONE = f"(?:\\+{BLANK}*)?{DIGIT}(?:(?:{BLANK}|[().\\-/])*{DIGIT}){{6,14}}"
-EMAIL = "[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}"
+EMAIL = "[A-Za-z0-9._%+\\-]{1,64}@[A-Za-z0-9.\\-]{1,253}\\.[A-Za-z]{2,63}"  # bounded as addresses are, so that long texts cost no more
 IDENTIFIER = "[A-Za-z0-9][A-Za-z0-9._/\\-]{2,}"
 LINE_VALUE = "[^\\r\\n:]{2,120}?"
 # Labels of fields in English and Arabic, the type of their value, and its class.
