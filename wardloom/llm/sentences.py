@@ -316,9 +316,9 @@ def _alone(line: str, following: str, goes_on: bool, lang: str, s: Statistics) -
         return False
     key = folded(line)
     words = line.split()
-    if (lang, key) in s.headings:
-        return True
     nxt = following.lstrip()[:1]
+    if (lang, key) in s.headings and not nxt.islower():
+        return True
     digits = any(c.isdigit() for c in line)
     if line.rstrip().endswith((":", "：")):
         return len(words) <= 6 and not digits and not goes_on and (lang, key + ":") not in s.begins

@@ -155,9 +155,9 @@ def shared_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 def shared_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 400) -> DataFrame:
     """(doc_id, n_chars, shared_chars, shared_share) of every document with an id: how much of it stands elsewhere too.
 
-    Documents without shared spans have 0; null texts have null ``n_chars`` and share.
+    Documents without shared spans, empty ones included, have 0; null texts have null ``n_chars`` and share.
     """
     r = shared_ranges(docs, doc_id, text, span).groupBy("doc_id").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("shared_chars"))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.length(text).alias("n_chars")).where("doc_id is not null").groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
     shared = F.coalesce("shared_chars", F.lit(0)).cast("bigint")
-    return base.join(r, "doc_id", "left").select("doc_id", "n_chars", shared.alias("shared_chars"), (shared / F.col("n_chars")).alias("shared_share"))
+    return base.join(r, "doc_id", "left").select("doc_id", "n_chars", shared.alias("shared_chars"), F.when(F.col("n_chars") > 0, shared / F.col("n_chars")).when(F.col("n_chars") == 0, 0.0).alias("shared_share"))
