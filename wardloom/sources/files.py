@@ -127,7 +127,8 @@ def pdf_of(content: bytes) -> tuple[str, int, dict[str, str], list[str]]:
 def documents(spark: SparkSession, path: str, extractors: Extractors | None = None) -> DataFrame:
     """One row for each file below ``path``; ``error`` is null where it was read.
 
-    Files without an extension, of an unknown kind, empty, encrypted or broken come out with an error and no text.
+    Files without an extension, of an unknown kind, encrypted or broken come out with an error and no text. Files of no
+    bytes don't come out: Spark's file source skips them.
     """
     kinds = (extractors or Extractors()).all()
     src = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), "content")
