@@ -60,6 +60,12 @@ ADDRESSES = [
     re.compile(r"شارع [ء-ي]+(?: [ء-ي]+){0,2} \d+(?:، ?[ء-ي]+(?: [ء-ي]+){0,3})?"),
     re.compile(r"(?:ص\.? ?ب\.?|صندوق بريد) ?\d+(?:، ?[ء-ي]+(?: [ء-ي]+){0,2})?"),
 ]
+#: One of these, in small letters, stands in every match of the pattern of the same place.
+ADDRESS_SIGNS = [
+    ("box", "postfach", "apartado", "apdo", "b.p."), tuple(STREETS.split("|")), ("block",), ("rue", "avenue", "boulevard", "place", "chemin", "impasse", "quai", "allée", "cours", "route"),
+    ("straße", "strasse", "weg", "gasse", "platz", "allee", "ring", "damm", "am ", "an der ", "im ", "zum ", "zur ", "auf dem ", "unter den "),
+    ("calle", "c/", "avda", "avenida", "plaza", "paseo", "camino", "carretera", "ronda", "travesía"), ("قطعة",), ("شارع",), ("ص", "صندوق"),
+]
 PARTICLE = r"(?:bin|ibn|bint|van der|van|von|de la|del|de|da|di|el|al)"
 PART = rf"(?:[{_UP}]\.(?!\w)|[{_UP}][{_LOW}]+(?:[-'’][{_UP}][{_LOW}]+)*|[{_UP}]{{2,}}(?:-[{_UP}]{{2,}})*)"
 NAMES = re.compile(rf"(?<![\w@.+-]){PART}(?:(?: (?:{PARTICLE}|{PARTICLE.upper()}))? {PART}){{0,4}}(?:, {PART}(?:(?: {PARTICLE})? {PART}){{0,2}})?")
@@ -67,15 +73,14 @@ ARABIC_BEFORE = re.compile(rf"(?<![ء-ي])(?:{'|'.join(w for w in (TITLES + '|ا
 STRONG = re.compile(rf"(?:Patient Name|Name|Nombre|Nom du patient|Paciente|Patient|Reporting Physician|Consultant Pathologist)\s*[:=]\s*(?:\n\s*)?(?:Dr\.? )?({PART}(?:(?:,? (?:{PARTICLE}))?,? {PART}){{0,4}})|(?:\b(?:Dr|Mr|Mrs|Ms|Sra?|Prof|Dra)\.? |\b(?:Frau|Herr|Mme|Mlle) )({PART}(?:(?: {PARTICLE})? {PART}){{0,3}})|(?:اسم المريضة?|طبيب الأشعة):? (?:د\. )?([ء-ي]+(?: [ء-ي]+){{1,4}})(?=\n|$)")
 ARABIC_PARTICLES = {"بن", "بنت", "ابن", "أبو", "أم", "آل"}
 FIRST = re.compile(rf"(?:^|[.!?] |\n)\s*([{_UP}][{_LOW}]+)(?= [{_LOW}])")
-#: Words in small letters, but for those in addresses of mail.
-LOWER = re.compile(rf"(?<![\w@.+-])[{_LOW}]{{2,}}(?![\w@+]|\.\w| ?\[?at\b)|[ء-ي]+")
+EDGES = ".,;:!?()[]{}<>\"'“”‘’«»،؛؟…-–—/|="
 WORD = re.compile(r"[^\W_][\w.'’=-]*")
-ODD = re.compile("[" + "".join(map(re.escape, sorted(c for c in character_table() if c != " " and not ("؀" <= c <= "ݿ") and unicodedata.normalize("NFC", character_table()[c]) != c))) + "̀-ͯ]")
+ODD = frozenset(c for c in character_table() if c != " " and not "؀" <= c <= "ݿ" and unicodedata.normalize("NFC", character_table()[c]) != c) | frozenset(map(chr, range(0x300, 0x370)))
 
 
 def fold(text: str) -> tuple[str, list[int] | None]:
     """The text with look-alikes, invisible signs and combining accents made plain, and the stored offset of each of its signs; none if nothing changed."""
-    if text.isascii() or not ODD.search(text):
+    if text.isascii() or ODD.isdisjoint(text):
         return text, None
     out: list[str] = []
     at: list[int] = []
@@ -103,21 +108,34 @@ def learned_lists(texts: DataFrame, text: str = "text", share: float = 2e-6) ->
     """Words of names in places that always hold names, and words in common use in small letters; each at least ``share`` of all, so
     at most ``1 / share`` words come to the driver."""
 
+    def plain(c: Counter) -> pd.DataFrame:
+        """Tokens as words: only those all in small letters, or in letters that have no case, count as used."""
+        out: Counter = Counter()
+        for w, n in c.items():
+            if w[0] in "\x01\x02":
+                out[w] += n
+            elif (v := w.strip(EDGES)).isalpha() and len(v) > 1 and v == v.lower():
+                out[v] += n
+        c.clear()
+        return pd.DataFrame(list(out.items()), columns=["w", "n"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter = Counter()
         for b in batches:
             for t in b["t"]:
                 t, _ = fold(t)
-                c.update(LOWER.findall(t))
+                c.update(t.split())
                 c.update("\x02" + w.lower() for w in FIRST.findall(t))
+                if " dot " in t:
+                    for m in EMAIL_WORDS.finditer(t):  # the name in an address is no use of a word
+                        c[m.group().split()[0]] -= 1
                 for m in STRONG.finditer(t):
                     for w in re.split(r"[\s,]+", next(g for g in m.groups() if g)):
                         if len(w.strip(".")) > 1 and w.lower() not in ("bin", "de", "al") and w.lower().rstrip(".") not in TITLE_SET | NAME_SET and w not in ARABIC_PARTICLES:
                             c["\x01" + w.casefold()] += 1
             if len(c) > 200_000:
-                yield pd.DataFrame(list(c.items()), columns=["w", "n"])
-                c.clear()
-        yield pd.DataFrame(list(c.items()), columns=["w", "n"])
+                yield plain(c)
+        yield plain(c)
 
     src = spread(texts.select(F.col(text).alias("t")).where("t is not null"))
     counted = cut(src.mapInPandas(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
@@ -184,13 +202,14 @@ def candidates(text: str, lists: Lists) -> list[tuple[int, int, int, list[int]]]
     """(start, end, type proposed, votes) of everything that may be personal."""
     out = []
     taken: list[tuple[int, int]] = []
-    if "@" in text or "at" in text or "AT" in text:
-        for r, sure in ((EMAIL_AT, True), (EMAIL_WORDS, False)):
+    low = text.lower()
+    for r, sure, signs in ((EMAIL_AT, True, ("@", "at]", "at ]", "at)", "at )", "at}")), (EMAIL_WORDS, False, (" dot ",))):
+        if any(x in low for x in signs):
             for m in r.finditer(text):
                 out.append((m.start(), m.end(), EMAIL, [EMAIL if sure else ABSTAIN, EMAIL if " dot " in m.group().lower() or "@" in m.group() else ABSTAIN, EMAIL if re.search(r"[\d._+]", m.group()) else ABSTAIN]))
                 taken.append((m.start(), m.end()))
-    for k, r in enumerate(ADDRESSES):
-        for m in r.finditer(text):
+    for r, signs in zip(ADDRESSES, ADDRESS_SIGNS):
+        for m in r.finditer(text) if any(x in low for x in signs) else ():
             before = words_before(text, m.start(), 3)
             e = m.end()
             out.append((m.start(), e, ADDRESS, [ADDRESS if any(c.isdigit() for c in m.group()) else NONE, ADDRESS if set(before) & HOME_SET else ABSTAIN, ADDRESS if "," in m.group() or "،" in m.group() else ABSTAIN, NONE if before and before[-1] in OTHER_SET else ABSTAIN]))
