@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardloom.functions import scalars
-from wardloom.operators import concepts, spans
+from wardloom.operators import concepts, spans, terms
 from wardloom.plans import protect, queries, understand
 from wardloom.sources import files, terminology
 from wardloom.streaming import documents as stream
@@ -156,3 +156,16 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert protect.deidentified(df, ["doc_id"], "research").count() == 0
     assert understand.classified(understand.profile_scores(df)).count() == 0
+
+
+def test_terms_are_given_back(spark):
+    df = spark.createDataFrame([(1, "A Cyst, a pain  score; cystic."), (2, ""), (3, None)], "doc_id int, text string")
+    p = df.select("doc_id", "text", terms.protected(F.col("text"), ["cyst", "pain score", "pain"]).alias("p"))
+    got = {r.doc_id: (r.p.text, r.back) for r in p.withColumn("back", terms.restored(F.col("p.text"), F.col("p.tokens"))).collect()}
+    assert got[1] == ("A __CTX_0001__, a __CTX_0002__; cystic.", "A Cyst, a pain  score; cystic.") and got[2] == ("", "") and got[3] == (None, None)
+
+
+def test_nearest_spans(spark):
+    a = spark.createDataFrame([(1, 10, 14, "liver"), (1, 500, 505, "lung")], "doc_id int, start_pos int, end_pos int, label string")
+    b = spark.createDataFrame([(1, 0, 4, "CT"), (1, 16, 18, "MRI"), (2, 10, 12, "XR")], "doc_id int, start_pos int, end_pos int, label string")
+    assert [(r.label, r.near, r.gap) for r in terms.nearest(a, b, "doc_id").collect()] == [("liver", "MRI", 2)]

@@ -52,6 +52,16 @@ INLINE_RULES = [
     ("inline_accession", "accession_number", "inline_rule", "\\bACC[-: ][A-Za-z0-9-]+", 0, 0), ("inline_specimen", "specimen_number", "inline_rule", "\\bSP[-: ][A-Za-z0-9-]+", 0, 0),
     ("inline_lab", "lab_number", "inline_rule", "\\bLAB[-:][A-Za-z0-9-]+", 0, 0),
 ]
+# Labels that stand at the start of a line before a colon, and the type of what follows.
+LINE_LABELS = [
+    ("patient_name", "patient|patient name"), ("civil_id", "civil id"), ("mrn", "mrn|medical record number"), ("visit_number", "visit number"), ("lab_number", "lab number|laboratory number"),
+    ("accession_number", "accession number"), ("specimen_number", "specimen number"),
+]
+PHYSICIAN_LABELS = "reporting physician|admitting consultant|consultant pathologist|طبيب الأشعة"
+LINE_START = "(?:^|\\n)[ \\t]*"
+CONTEXT_RULES = [(f"context_{k}", k, "field_rule", f"(?i)({LINE_START}(?:{label})[ \\t]*:\\s*)([^\\r\\n=]*[^\\r\\n=\\s])", 1, 2) for k, label in LINE_LABELS] + [
+    ("context_physician", "physician_name", "field_rule", f"(?i)({LINE_START}(?:{PHYSICIAN_LABELS})[ \\t]*:\\s*(?:dr|د)\\.?\\s*)([^\\r\\n=]*[^\\r\\n=\\s])", 1, 2)
+]  # title outside the span
 # Priorities of sources, decisions and types in settling overlaps.
 SOURCE_PRIORITY = {"field_rule": 100, "arabic_rule": 95, "inline_rule": 90, "ner": 60, "external": 50, "unknown": 10}
 DECISION_PRIORITY = {"accept": 100, "keep": 90, "review_required": 70, "pending": 50, "reject": 10}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardloom.functions import scalars
-from wardloom.operators import concepts, spans
+from wardloom.operators import concepts, spans, terms
 from wardloom.plans import protect, understand
 from wardloom.session import table
 
@@ -41,11 +41,29 @@ def field_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.extracted(_deid(spark, sf_dir), ["request_id"], "text", protect.FIELD_RULES).select("request_id", "rule", "kind", "start_pos", "end_pos", "value")
 
 
-def _field_sql() -> str:
-    parts = [f"SELECT request_id, '{n}' AS rule, '{k}' AS kind, start_pos, start_pos + length(value) AS end_pos, value FROM ({_spans_sql(p, DISTINCT, 'request_id', lead, value)})" for n, k, _, p, lead, value in protect.FIELD_RULES]
+def _field_sql(rules: list) -> str:
+    parts = [f"SELECT request_id, '{n}' AS rule, '{k}' AS kind, start_pos, start_pos + length(value) AS end_pos, value FROM ({_spans_sql(p, DISTINCT, 'request_id', lead, value)})" for n, k, _, p, lead, value in rules]
     return " UNION ALL ".join(parts)
 
 
+def context_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.extracted(_deid(spark, sf_dir), ["request_id"], "text", protect.CONTEXT_RULES).select("request_id", "rule", "kind", "start_pos", "end_pos", "value")
+
+
+# Terms of the common clinical vocabulary.
+CLINICAL_TERMS = ["patient", "specimen", "culture", "effusion", "fracture", "pain score", "serum level", "follow-up", "atrophy", "cyst"]
+
+
+def terms_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts after their terms were protected and given back."""
+    t = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", terms.protected(F.col("text"), CLINICAL_TERMS).alias("p"))
+    return t.select("doc_id", terms.restored(F.col("p.text"), F.col("p.tokens")).alias("restored"))
+
+
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.term_counts(table(spark, sf_dir, "documents"), CLINICAL_TERMS)
+
+
 def detected_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = protect.detected(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.groupBy("kind", "source").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
@@ -86,7 +104,7 @@ def digits_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf_dir, "documents").where(t.isNotNull()).select("doc_id", scalars.line_count(t).alias("lines"), F.length(t).alias("chars"), (F.length(F.trim(t)) == 0).alias("is_empty"), scalars.stable_hash(t).alias("digest"))
+    return table(spark, sf_dir, "documents").where(t.isNotNull()).select("doc_id", F.length(t).alias("chars"), (F.length(F.trim(t)) == 0).alias("is_empty"), scalars.stable_hash(t).alias("digest"))
 
 
 def file_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +162,7 @@ def label_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FUNCTIONS = [
-    _rule_query(protect.EMAIL_RULE, "detect_emails", True), _rule_query(protect.PHONE_RULE, "detect_phones", True), field_candidates, detected_kinds, policy_matrix, *(_deidentify(p) for p in protect.PROFILES),
+    _rule_query(protect.EMAIL_RULE, "detect_emails", True), _rule_query(protect.PHONE_RULE, "detect_phones", True), field_candidates, context_candidates, terms_roundtrip, term_counts, detected_kinds, policy_matrix, *(_deidentify(p) for p in protect.PROFILES),
     masked_emails, decisions, digits_folded, document_flags, file_extensions, script_languages, sections, profile_scores, classified, routes, concepts_merged, concept_coverage, concepts_in_text,
     unlisted_sections, label_differences,
 ]
@@ -160,7 +178,10 @@ _SCORES = " UNION ALL ".join(
 SQL = {
     "detect_emails": _spans_sql(protect.EMAIL, "(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)", "doc_id"),
     "detect_phones": _spans_sql(protect.PHONE_RULE[3], "(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)", "doc_id"),
-    "field_candidates": _field_sql(),
+    "field_candidates": _field_sql(protect.FIELD_RULES),
+    "context_candidates": _field_sql(protect.CONTEXT_RULES),
+    "terms_roundtrip": "SELECT doc_id, text AS restored FROM documents WHERE text IS NOT NULL",
+    "document_flags": "SELECT doc_id, length(text) AS chars, length(trim(text, ' ')) = 0 AS is_empty, substr(sha256(text), 1, 10) AS digest FROM documents WHERE text IS NOT NULL",
     "policy_matrix": f"SELECT profile, action, count(*) AS n, string_agg(kind, ',' ORDER BY kind) AS kinds FROM (VALUES {_POLICY_VALUES}) v(profile, kind, action) GROUP BY ALL",
     "masked_emails": f"""SELECT request_id, start_pos, value AS keep, '[EMAIL]' AS replace, '[EMAIL:' || substr(sha256(value), 1, 10) || ']' AS hash,
         CASE WHEN length(value) <= 4 THEN repeat('*', length(value)) ELSE substr(value, 1, 2) || repeat('*', length(value) - 4) || substr(value, length(value) - 1) END AS mask, '[REMOVED]' AS remove
