@@ -170,7 +170,7 @@ def contract(df: DataFrame) -> DataFrame:
     blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
     return df.select(
         "path", blank(F.col("file_name")).alias("file_name"), "extension", "size", "text", F.lower(blank(F.col("encoding"))).alias("encoding"), "page_count", "metadata",
-        F.filter(F.transform("warnings", F.trim), lambda x: x != "").alias("warnings"), line_count(F.col("text")).alias("line_count"), (F.length(F.trim(F.col("text"))) == 0).alias("is_empty"), "error",
+        F.filter(F.transform("warnings", lambda x: F.trim(x)), lambda x: x != "").alias("warnings"), line_count(F.col("text")).alias("line_count"), (F.length(F.trim(F.col("text"))) == 0).alias("is_empty"), "error",
     )
 
 

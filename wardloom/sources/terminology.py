@@ -20,7 +20,7 @@ def _column(df: DataFrame, *names: str) -> Column:
 def _concepts(df: DataFrame, prefix: str, family: str, code: Column, name: Column, synonyms: Column) -> DataFrame:
     return df.select(
         stable_id(prefix, code, term_key(name)).alias("concept_id"), name.alias("canonical_name"), F.lit(family).alias("concept_family"), F.array(name).alias("preferred_terms"),
-        F.array_distinct(F.filter(F.transform(synonyms, F.trim), lambda x: (x != "") & (x != name))).alias("synonyms"), code.alias("code"),
+        F.array_distinct(F.filter(F.transform(synonyms, lambda x: F.trim(x)), lambda x: (x != "") & (x != name))).alias("synonyms"), code.alias("code"),
     ).where("canonical_name is not null")
 
 
