@@ -61,6 +61,18 @@ def test_deidentified_rewrites_accepted_spans_only(spark):
         protect.deidentified(df, ["id"], "none such")
 
 
+def test_deidentified_finds_names_by_the_label_of_their_line(spark):
+    text = "Reporting Physician: Dr. Omar Vale\nConsultant Pathologist: Dr Ann Bell\nطبيب الأشعة: د. سالم\nPatient: Eve Moor\nMRN: AB-1234\nnote on Dr. Grey"
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    got = {p: protect.deidentified(df, ["id"], p).first().protected for p in protect.PROFILES}
+    assert got["strict_privacy"] == "Reporting Physician: Dr. [REMOVED]\nConsultant Pathologist: Dr [REMOVED]\nطبيب الأشعة: د. [REMOVED]\nPatient: [REMOVED]\nMRN: [REMOVED]\nnote on Dr. Grey"
+    for p in ("research", "analytics_public_health"):
+        assert "Omar" not in got[p] and "Bell" not in got[p] and "سالم" not in got[p] and "Patient: [PATIENT_NAME]" in got[p]
+    assert "Dr. Omar Vale" in got["clinical"] and "Patient: [PATIENT_NAME]" in got["clinical"]
+    found = protect.detected(df, ["id"]).where("kind = 'physician_name'").collect()
+    assert {r.value for r in found} == {"Omar Vale", "Ann Bell", "سالم"}
+
+
 def test_greedy_keeps_the_first_of_overlapping_spans(spark):
     df = spark.sql("SELECT array(named_struct('start_pos', 5, 'end_pos', 9), named_struct('start_pos', 0, 'end_pos', 6), named_struct('start_pos', 0, 'end_pos', 5)) AS s")
     assert [(x.start_pos, x.end_pos) for x in df.select(spans.greedy(F.col("s")).alias("s")).first().s] == [(0, 5), (5, 9)]

@@ -98,8 +98,8 @@ def actions(profile: str, kind: Column) -> Column:
 
 
 def detected(df: DataFrame, keys: list[str], text: str = "text", rules: list | None = None) -> DataFrame:
-    """The strongest candidate of each span and type: fields before inline rules."""
-    spans = extracted(df, keys, text, rules or [*FIELD_RULES, EMAIL_RULE, PHONE_RULE, *INLINE_RULES])
+    """The strongest candidate of each span and type: fields before inline rules, labels of whole lines first among fields."""
+    spans = extracted(df, keys, text, rules or [*CONTEXT_RULES, *FIELD_RULES, EMAIL_RULE, PHONE_RULE, *INLINE_RULES])
     best = F.min_by(F.struct("rule", "source", "seq", "value"), F.struct(-lookup(SOURCE_PRIORITY, F.col("source"), 0), F.col("seq")))
     return spans.groupBy(*keys, "start_pos", "end_pos", "kind").agg(best.alias("b")).select(*keys, "start_pos", "end_pos", "kind", "b.rule", "b.source", "b.seq", "b.value")
 
