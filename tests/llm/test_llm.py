@@ -214,6 +214,15 @@ def test_personal_spans(spark, sf_dir):
     assert "[PHONE]" in masked[10_001] and masked[10_002] is None and masked[10_004] == "Checksum 10710415"
 
 
+def test_names_seen_a_few_times_stay_known_in_a_large_corpus(spark):
+    some = [(i, "Patient Name: Quillan Marridge\nSeen at noon.") for i in range(3)] + [(10, "we told Quillan Marridge so"), (10, "we told Quillan Marridge so"), (None, "then Marridge's son came"), (11, "we told Ollan Tarridge so")]
+    much = [(100 + i, "the scan was normal " * 10_000) for i in range(50)]
+    for rows in (some, some + much):
+        df = spark.createDataFrame(rows, "id int, text string")
+        got = {(r.id, x.s, x.e) for r in personal.all_proposed(df, ["id"], "text").collect() for x in r.spans}
+        assert got == {(0, 14, 30), (1, 14, 30), (2, 14, 30), (10, 8, 24), (None, 5, 13)}
+
+
 def test_vote_model_trusts_agreeing_labelers():
     p = [((personal.PHONE, personal.PHONE), 90), ((personal.PHONE, -1), 40), ((-1, -1), 100), ((-1, personal.NONE), 60)]
     m = personal.vote_model(p, (personal.NONE, personal.PHONE))

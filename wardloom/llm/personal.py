@@ -13,6 +13,8 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache, reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardloom.llm.lookalike import character_table
-from wardloom.session import cut, spread
+from wardloom.session import cut, may_contain, spread
 
 TYPES = ("NONE", "EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 NONE, EMAIL, PHONE, ID, ADDRESS, NAME = range(6)
@@ -97,16 +99,32 @@ def fold(text: str) -> tuple[str, list[int] | None]:
     return "".join(out), at
 
 
+class Both:
+    """Two sets as one."""
+
+    def __init__(self, first: set[str], second: set[str]):
+        self.first, self.second = first, second
+
+    def __contains__(self, w: str) -> bool:
+        return w in self.first or w in self.second
+
+
 class Lists:
     """Word lists learned from all texts."""
 
-    def __init__(self, names: set[str], common: set[str]):
+    def __init__(self, names: set[str] | Both, common: set[str] | Both):
         self.names, self.common = names, common
 
+    def missing(self, words: set[str]) -> list[str]:
+        return [w for w in words if w not in self.names and w not in self.common]
 
-def learned_lists(texts: DataFrame, text: str = "text", share: float = 2e-6) -> Lists:
-    """Words of names in places that always hold names, and words in common use in small letters; each at least ``share`` of all, so
-    at most ``1 / share`` words come to the driver."""
+
+def learned_lists(texts: DataFrame, text: str = "text", share: float = 2e-6) -> tuple[Lists, DataFrame]:
+    """Words of names in places that always hold names, and words in common use in small letters, each seen twice at least.
+
+    The words that make up at least ``share`` of all come to the driver, hence at most ``1 / share``; the rest stays a table
+    (w, name), where ``name`` is false for common words.
+    """
 
     def plain(c: Counter) -> pd.DataFrame:
         """Tokens as words: only those all in small letters, or in letters that have no case, count as used."""
@@ -140,15 +158,13 @@ def learned_lists(texts: DataFrame, text: str = "text", share: float = 2e-6) ->
     src = spread(texts.select(F.col(text).alias("t")).where("t is not null"))
     counted = cut(src.mapInPandas(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
     total = counted.agg(F.sum("n")).first()[0] or 0
-    kept = {r.w: r.n for r in counted.where(F.col("n") >= max(2.0, share * total)).collect()}
-    names = {w[1:]: n for w, n in kept.items() if w[0] == "\x01"}
-    used: Counter = Counter()
-    for w, n in kept.items():
-        if w[0] != "\x01":  # in small letters, or first in a sentence
-            used[w.lstrip("\x02")] += n
+    named = F.substring("w", 1, 1) == "\x01"
+    split = counted.where("n >= 2").select(F.when(F.substring("w", 1, 1).isin("\x01", "\x02"), F.expr("substring(w, 2)")).otherwise(F.col("w")).alias("w"), F.when(named, F.col("n")).otherwise(0).alias("names"), F.when(named, 0).otherwise(F.col("n")).alias("used"))
     # a word used so much more often than in names is no name; Arabic has no small letters, so all its words count as used
-    often = lambda w: 3 if w[0] < "؀" else 8
-    return Lists({w for w, n in names.items() if used[w] < often(w) * n}, {w for w, n in used.items() if n >= often(w) * names.get(w, 0)})
+    often = F.when(F.substring("w", 1, 1) < "\u0600", 3).otherwise(8)
+    judged = split.groupBy("w").agg(F.sum("names").alias("names"), F.sum("used").alias("used")).select("w", (F.col("used") < often * F.col("names")).alias("name"), (F.greatest("names", "used") >= share * total).alias("often"))
+    told = judged.where("often").select("w", "name").collect()
+    return Lists({r.w for r in told if r.name}, {r.w for r in told if not r.name}), judged.where("not often").select("w", "name")
 
 
 EPONYM = re.compile(rf"(?:['’]s)? (?:{EPONYM_AFTER})\b", re.I)
@@ -198,8 +214,16 @@ def name_votes(text: str, s: int, e: int, lists: Lists) -> list[int]:
     ]
 
 
-def candidates(text: str, lists: Lists) -> list[tuple[int, int, int, list[int]]]:
-    """(start, end, type proposed, votes) of everything that may be personal."""
+@lru_cache(1 << 16)
+def forms(w: str) -> frozenset[str]:
+    """The forms in which a word of a run of capitalised words is looked up."""
+    a = w.strip(".,").casefold()
+    b = a[:-2] if a.endswith(("'s", "’s")) else a
+    return frozenset(x for x in (a, b, w.casefold().rstrip("."), *a.split("-"), *b.split("-")) if len(x) > 1)
+
+
+def candidates(text: str, lists: Lists, asked: set[str]) -> list[tuple[int, int, int, list[int]]]:
+    """(start, end, type proposed, votes) of everything that may be personal; the words that the lists may be asked for are added to ``asked``."""
     out = []
     taken: list[tuple[int, int]] = []
     low = text.lower()
@@ -222,11 +246,14 @@ def candidates(text: str, lists: Lists) -> list[tuple[int, int, int, list[int]]]
                 if r is CODE:
                     taken.append((m.start(), m.end()))
     for m in NAMES.finditer(text):
+        for w in re.findall(r"[^\s,]+", m.group()):
+            asked |= forms(w)
         for s, e in name_spans(text, m.start(), m.end(), lists):
             if free(s, e):
                 out.append((s, e, NAME, name_votes(text, s, e, lists)))
     if not text.isascii():
         for m in ARABIC_BEFORE.finditer(text):
+            asked.update(m.group(1).split())
             s, e = arabic_name(text, m.start(1), m.end(1), lists)
             if e > s and free(s, e):
                 out.append((s, e, NAME, name_votes(text, s, e, lists)))
@@ -371,28 +398,51 @@ class SpanClassifier:
 SPAN = "struct<s:int,e:int,kind:int,votes:array<int>,features:array<int>>"
 
 
-def proposed(df: DataFrame, keys: list[str], text: str, lists: Lists, at: str | None = None) -> DataFrame:
-    """(keys, spans): the candidates of each text with votes and features, offsets as stored; texts without any are left out."""
+def proposed(df: DataFrame, keys: list[str], text: str, lists: Lists, at: str | None = None, more: bool = False) -> DataFrame:
+    """(keys, spans, asked): the candidates of each text with votes and features, offsets as stored, and the words that aren't on the lists; texts without any are left out.
+
+    With ``more``, the columns _names and _common hold further words of the lists for each text.
+    """
     has = F.col(at) if at else F.lit(None).cast("array<int>")
-    src = spread(df.select(*keys, F.col(text).alias("_text"), has.alias("_at")).where(F.col("_text").isNotNull()))
+    further = [F.col(c) if more else F.lit(None).cast("array<string>").alias(c) for c in ("_names", "_common")]
+    src = df.select(*keys, F.col(text).alias("_text"), has.alias("_at"), *further).where(F.col("_text").isNotNull())
     kinds = dict(src.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for *k, t, m in b.itertuples(index=False, name=None):
+            for *k, t, m, names, common in b.itertuples(index=False, name=None):
                 plain, where = fold(t)
-                spans = []
-                for s, e, kind, votes in candidates(plain, lists):
+                spans: list[dict] = []
+                asked: set[str] = set()
+                own = Lists(Both(lists.names, set(names)), Both(lists.common, set(common))) if more else lists
+                for s, e, kind, votes in candidates(plain, own, asked):
                     a, z = (s, e) if where is None else (where[s], where[e - 1] + 1)
                     if m is not None:
                         a, z = int(m[a]), int(m[z])
                     spans.append({"s": a, "e": z, "kind": kind, "votes": votes, "features": features(plain, s, e, kind, votes)})
-                if spans:
-                    rows.append((*k, spans))
-            yield pd.DataFrame(rows, columns=[*keys, "spans"])
+                missing = [] if more else lists.missing(asked)
+                if spans or missing:
+                    rows.append((*k, spans, missing))
+            yield pd.DataFrame(rows, columns=[*keys, "spans", "asked"])
+
+    return (src if more else spread(src)).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", spans array<{SPAN}>, asked array<string>")
 
-    return src.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", spans array<{SPAN}>")
+
+def all_proposed(df: DataFrame, keys: list[str], text: str, at: str | None = None) -> DataFrame:
+    """(keys, spans): the candidates of each text by the whole lists.
+
+    Frequent words are at hand in every worker. The others of a text are joined with the rest of the lists, and the texts
+    that hold some of those are read again with them; only they are shuffled.
+    """
+    lists, rest = learned_lists(df, text)
+    first = cut(proposed(df, keys, text, lists, at))
+    words = may_contain(first.select(*keys, F.explode("asked").alias("w")), "w", rest, "w").join(rest, "w")
+    hits = cut(words.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).agg(F.collect_set(F.when(F.col("name"), F.col("w"))).alias("_names"), F.collect_set(F.when(~F.col("name"), F.col("w"))).alias("_common")))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)])
+    hashed = hits.select(F.xxhash64(*[f"_{i}" for i in range(len(keys))]).alias("_key"))
+    again = proposed(may_contain(df.withColumn("_key", F.xxhash64(*keys)), "_key", hashed, "_key").join(hits, same), keys, text, lists, at, more=True)
+    return cut(first.join(hits, same, "left_anti").unionByName(again).where(F.size("spans") > 0).select(*keys, "spans"))
 
 
 def personal_spans(df: DataFrame, keys: list[str], text: str = "text", at: str | None = None, sample: int = 30_000, least: float = 0.5) -> DataFrame:
@@ -402,8 +452,7 @@ def personal_spans(df: DataFrame, keys: list[str], text: str = "text", at: str |
     them, those of texts chosen by a hash of their keys. Null and empty texts have no spans; rows that repeat keys and text are one.
     """
     src = df.select(*keys, text, *([at] if at else []))
-    lists = learned_lists(src, text)
-    found = cut(proposed(src, keys, text, lists, at))
+    found = all_proposed(src, keys, text, at)
     each = found.select(F.explode("spans").alias("x"))
     counted = each.groupBy(F.col("x.kind").alias("kind"), F.col("x.votes").alias("votes")).agg(F.count("*").alias("n")).collect()  # a few vote patterns
     meaning = {}
