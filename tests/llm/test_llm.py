@@ -150,6 +150,14 @@ def test_units(spark):
     assert not {900, 901, 902} & set(got)
 
 
+def test_starters_count_after_rare_words_too(spark):
+    word = lambda i: "margol" + "".join(chr(97 + i // 5**k % 5) for k in range(4))
+    texts = [f"The patient is {word(i)}. Does it hurt?" for i in range(300)] + ["The pain is of the left side and it does not go."] * 100 + ["Seen by Dr. Weller for the pain of it."] * 100
+    s = sentences.learned(spark.createDataFrame([(t,) for t in texts], "text string"))
+    starters = set().union(*s.starters.values())
+    assert "does" in starters and "weller" not in starters and any("dr" in a for a in s.abbreviations.values())
+
+
 def test_log_likelihood_is_high_for_what_goes_together():
     assert sentences.log_likelihood(100, 100, 90, 10_000) > 100 > sentences.log_likelihood(100, 100, 1, 10_000)
 

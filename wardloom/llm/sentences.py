@@ -132,11 +132,7 @@ def count_text(text: str) -> Iterator[tuple[str, str, str, str]]:
                 if rest.islower() or rest.isdigit() or rest in ",;:،؛" and rest:
                     yield lang, "goes on", w, ""
                 if nxt is not None:
-                    x = kind(nxt.group())
-                    gap = line[m.end() : nxt.start()]
-                    yield lang, "pair", w, x
-                    if gap.isspace():
-                        yield lang, "after", x, ""
+                    yield lang, "pair", w, kind(nxt.group())
                 else:
                     yield lang, "ends", w, ""
 
@@ -170,19 +166,13 @@ class Statistics:
             n = max(1, c((lang, "all token", "", ""), 0))
             periods = max(1, c((lang, "all period", "", ""), 0))
             own = [(what, a, b, k) for (g, what, a, b), k in counts.items() if g == lang]
-            abbr = set()
-            for what, w, _, k in own:
-                if what == "period" and w != "0" and self._abbreviation(w, k, c((lang, "token", w, ""), k), c((lang, "ends", w, ""), 0), c((lang, "goes on", w, ""), 0), periods, n):
-                    abbr.add(w)
+            abbr = self.abbreviations_of(counts, lang)
             self.abbreviations[lang] = abbr
             if lang in LATIN:
                 self.abbreviations.setdefault("any Latin", set()).update(abbr)
             # periods after abbreviations say nothing about what begins a sentence
             ends = max(1, periods - sum(c((lang, "period", w, ""), 0) for w in abbr))
-            starts: Counter = Counter()
-            for what, w, x, k in own:
-                if what == "pair" and w not in abbr:
-                    starts[x] += k
+            starts = {x: k for what, x, _, k in own if what == "start"}
             self.starters[lang] = {x for x, k in starts.items() if not x[:1].isdigit() and c((lang, "token", x, ""), 0) and k / ends > c((lang, "token", x, ""), k) / n and log_likelihood(ends, max(k, c((lang, "token", x, ""), k)), k, n) > 30}
             self.collocations[lang] = {
                 (w, x) for what, w, x, k in own
@@ -201,6 +191,13 @@ class Statistics:
                 if what == "begins" and k > c((lang, "alone", a, ""), 0) and k >= 2:
                     self.begins.add((lang, a))
 
+    @classmethod
+    def abbreviations_of(cls, counts: dict[tuple[str, str, str, str], int], lang: str) -> set[str]:
+        c = counts.get
+        n, periods = (max(1, c((lang, f"all {what}", "", ""), 0)) for what in ("token", "period"))
+        own = [(w, k) for (g, what, w, _), k in counts.items() if g == lang and what == "period" and w != "0"]
+        return {w for w, k in own if cls._abbreviation(w, k, c((lang, "token", w, ""), k), c((lang, "ends", w, ""), 0), c((lang, "goes on", w, ""), 0), periods, n)}
+
     @staticmethod
     def _abbreviation(w: str, with_period: int, total: int, ends: int, goes_on: int, periods: int, n: int) -> bool:
         """Kiss and Strunk's score of a type that stands before a period.
@@ -221,7 +218,7 @@ class Statistics:
 
 def learned(texts: DataFrame, text: str = "text", share: float = 5e-6) -> Statistics:
     """Counted over all ``texts``. Only what makes up at least ``share`` of its language's lines or tokens, and occurs twice, comes to the
-    driver: at most ``1 / share`` entries of each kind and language."""
+    driver: at most ``1 / share`` entries of each kind and language. What follows a period is summed over all words but abbreviations before that."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -235,10 +232,13 @@ def learned(texts: DataFrame, text: str = "text", share: float = 5e-6) -> Statis
     c = cut(c)
     total = {(r.lang, r.what): r.n for r in c.where("what in ('token', 'period', 'lines')").groupBy("lang", "what").agg(F.sum("n").alias("n")).collect()}  # a few languages
     least = F.create_map(*[F.lit(x) for (lang, what), n in total.items() if what != "period" for x in (f"{lang}|{'t' if what == 'token' else 'l'}", share * n)] or [F.lit(""), F.lit(0.0)])
-    of = F.when(F.col("what").isin("token", "period", "pair", "after", "ends", "goes on"), "t").otherwise("l")
-    frequent = c.where((F.col("n") >= 2) & (F.col("n") >= least[F.concat_ws("|", F.col("lang"), of)]))
-    counts = {(r.lang, r.what, r.a, r.b): r.n for r in frequent.collect()}
+    of = F.when(F.col("what").isin("token", "period", "pair", "ends", "goes on", "start"), "t").otherwise("l")
+    frequent = (F.col("n") >= 2) & (F.col("n") >= least[F.concat_ws("|", F.col("lang"), of)])
+    counts = {(r.lang, r.what, r.a, r.b): r.n for r in c.where(frequent).collect()}
     counts |= {(lang, f"all {what}", "", ""): n for (lang, what), n in total.items()}
+    short = texts.sparkSession.createDataFrame([(lang, w) for lang in sorted({k[0] for k in counts}) for w in sorted(Statistics.abbreviations_of(counts, lang))], "lang string, a string")
+    starts = c.where("what = 'pair'").join(F.broadcast(short), ["lang", "a"], "left_anti").groupBy("lang", F.col("b").alias("a")).agg(F.sum("n").alias("n")).withColumn("what", F.lit("start"))
+    counts |= {(r.lang, "start", r.a, ""): r.n for r in starts.where(frequent).collect()}
     return Statistics(counts)
 
 
