@@ -73,6 +73,13 @@ def test_deidentified_finds_names_by_the_label_of_their_line(spark):
     assert {r.value for r in found} == {"Omar Vale", "Ann Bell", "سالم"}
 
 
+def test_detected_finds_names_after_every_label_of_clinicians(spark):
+    text = "Attending Physician: Dr. Omar Vale\r\nAuthorized by:\n Dr. Ann Bell \nReported By: Ina Moor\nالطبيب المعالج: د. سالم\nاستشاري علم الأمراض : د جابر\nDoctor: Dr. Lee = x\nphysician: dr. Roe"
+    found = protect.detected(spark.createDataFrame([(1, text)], "id int, text string"), ["id"])
+    got = {(r.start_pos, r.value) for r in found.where("kind = 'physician_name'").collect()}
+    assert got == {(text.index(v), v) for v in ("Dr. Omar Vale", "Dr. Ann Bell", "سالم", "جابر", "dr. Roe")}
+
+
 def test_greedy_keeps_the_first_of_overlapping_spans(spark):
     df = spark.sql("SELECT array(named_struct('start_pos', 5, 'end_pos', 9), named_struct('start_pos', 0, 'end_pos', 6), named_struct('start_pos', 0, 'end_pos', 5)) AS s")
     assert [(x.start_pos, x.end_pos) for x in df.select(spans.greedy(F.col("s")).alias("s")).first().s] == [(0, 5), (5, 9)]

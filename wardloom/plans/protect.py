@@ -62,6 +62,14 @@ LINE_START = "(?:^|\\n)[ \\t]*"
 CONTEXT_RULES = [(f"context_{k}", k, "field_rule", f"(?i)({LINE_START}(?:{label})[ \\t]*:\\s*)([^\\r\\n=]*[^\\r\\n=\\s])", 1, 2) for k, label in LINE_LABELS] + [
     ("context_physician", "physician_name", "field_rule", f"(?i)({LINE_START}(?:{PHYSICIAN_LABELS})[ \\t]*:\\s*(?:dr|د)\\.?\\s*)([^\\r\\n=]*[^\\r\\n=\\s])", 1, 2)
 ]  # title outside the span
+# Further labels of clinicians, with the title inside the span, and in Arabic outside of it; kept apart since context_candidates is compared with the SQL of the rules above.
+CLINICIAN_LABELS = "consultant(?:[ \\t]+pathologist)?|(?:(?:attending|requesting|authorized)[ \\t]+)?physician|doctor|(?:authorized|reported)[ \\t]+by"
+ARABIC_CLINICIAN_LABELS = "الطبيب[ \\t]+المعالج|استشاري[ \\t]+(?:الباثولوجي|علم[ \\t]+الأمراض)"
+AFTER_LABEL, LINE_END = "[ \\t]*:[ \\t]*(?:\\r?\\n[ \\t]*)*", "(?=[ \\t]*\\r?(?:\\n|$))"
+CLINICIAN_RULES = [
+    ("context_clinician", "physician_name", "field_rule", f"(?i)({LINE_START}(?:{CLINICIAN_LABELS}){AFTER_LABEL})(dr\\.[ \\t]+[^\\r\\n=]*[^\\r\\n=\\s]){LINE_END}", 1, 2),
+    ("context_arabic_clinician", "physician_name", "field_rule", f"(?i)({LINE_START}(?:{ARABIC_CLINICIAN_LABELS}){AFTER_LABEL}(?:dr|د)\\.?[ \\t]+)([^\\r\\n=]*[^\\r\\n=\\s]){LINE_END}", 1, 2),
+]
 # Priorities of sources, decisions and types in settling overlaps.
 SOURCE_PRIORITY = {"field_rule": 100, "arabic_rule": 95, "inline_rule": 90, "ner": 60, "external": 50, "unknown": 10}
 DECISION_PRIORITY = {"accept": 100, "keep": 90, "review_required": 70, "pending": 50, "reject": 10}
@@ -99,7 +107,7 @@ def actions(profile: str, kind: Column) -> Column:
 
 def detected(df: DataFrame, keys: list[str], text: str = "text", rules: list | None = None) -> DataFrame:
     """The strongest candidate of each span and type: fields before inline rules, labels of whole lines first among fields."""
-    spans = extracted(df, keys, text, rules or [*CONTEXT_RULES, *FIELD_RULES, EMAIL_RULE, PHONE_RULE, *INLINE_RULES])
+    spans = extracted(df, keys, text, rules or [*CONTEXT_RULES, *CLINICIAN_RULES, *FIELD_RULES, EMAIL_RULE, PHONE_RULE, *INLINE_RULES])
     best = F.min_by(F.struct("rule", "source", "seq", "value"), F.struct(-lookup(SOURCE_PRIORITY, F.col("source"), 0), F.col("seq")))
     return spans.groupBy(*keys, "start_pos", "end_pos", "kind").agg(best.alias("b")).select(*keys, "start_pos", "end_pos", "kind", "b.rule", "b.source", "b.seq", "b.value")
 
