@@ -106,6 +106,43 @@ def test_mapping(spark):
     assert got == {1: "findings", 2: "findings", 3: "impression", 4: "UNMATCHED", 5: "UNMATCHED", 6: "UNMATCHED", 7: "plan", 8: "UNMATCHED"}
 
 
+def test_mapping_in_several_scripts_and_with_words_cut_short(spark):
+    listed = [("methods", "الطريقة"), ("history", "شرح حال بالینی"), ("results", "Αποτελέσματα"), ("findings", "Результаты осмотра"), ("impression", "印象診断"), ("allergies", "एलर्जी")]
+    many = [(f"e{i}", f"Almon{chr(97 + i)} Register") for i in range(20)]  # more completions of one short word than any small number
+    names = spark.createDataFrame([*listed, *many], "entry string, name string")
+    rows = [(1, "3) الطريقه:"), (2, "الطريقة"), (3, "ΑΠΟΤΕΛΕΣΜΑΤΑ"), (4, "результаты  осмотра"), (5, "印象診断："), (6, "एलर्जी"), (7, "شرح حال باليني"), (8, "Almont Regis."), (9, "Almon. Register"), (10, "Резул. осмотра"), (11, "غرفة الانتظار")]
+    df = spark.createDataFrame(rows, "id int, value string")
+    want = {1: "methods", 2: "methods", 3: "results", 4: "findings", 5: "impression", 6: "allergies", 7: "history", 8: "e19", 9: "UNMATCHED", 10: "findings", 11: "UNMATCHED"}
+    for block in (1000, 5):
+        assert {x.id: x.canonical for x in mapping.mapped(df, "id", "value", names, block_names=block).collect()} == want
+
+
+def test_mapping_scores_equal_brute_force(spark):
+    r = random.Random(8)
+    listed = [(f"e{i % 9}", "".join(r.choices("abcdeا日", k=r.randint(1, 12)))) for i in range(40)]
+    values = ["".join(r.choices("abcdeا日 ", k=r.randint(0, 14))) for _ in range(60)]
+    names = spark.createDataFrame(listed, "entry string, name string")
+    forms = {f for _, n in listed for f, _ in mapping.forms_of(n, frozenset())}
+    rarity: dict[str, int] = {}
+    for f in forms:
+        for g in mapping.grams(f):
+            rarity[g] = rarity.get(g, 0) + 1
+
+    def vector(f: str) -> dict[str, float]:
+        v = {g: math.sqrt(n) * (math.log1p(len(forms) / rarity[g]) if g in rarity else math.log1p(2.0 * len(forms))) for g, n in mapping.grams(f).items()}
+        size = math.sqrt(sum(w * w for w in v.values()))
+        return {g: w / size for g, w in v.items()}
+
+    got = {x.value: {f.entry: f.score for f in x.found} for x in mapping.scored(spark.createDataFrame([(v,) for v in values], "value string"), names, 0.3).collect()}
+    for v in set(values):
+        want: dict[str, float] = {}
+        for e, n in listed:
+            for f, _ in mapping.forms_of(n, frozenset()):
+                a, b = vector("".join(v.split())) if v.strip() else {}, vector(f)
+                want[e] = max(want.get(e, 0.0), sum(w * b.get(g, 0.0) for g, w in a.items()))
+        assert got[v] == pytest.approx({e: s for e, s in want.items() if s >= 0.3})
+
+
 # -- encodings (problem 4)
 
 

@@ -88,7 +88,7 @@ def fold(text: str) -> tuple[str, list[int] | None]:
     at: list[int] = []
     table = character_table()
     for i, c in enumerate(text):
-        if "̀" <= c <= "ͯ" and out:
+        if "\u0300" <= c <= "\u036f" and out:
             both = unicodedata.normalize("NFC", out[-1] + c)
             if len(both) == 1:
                 out[-1] = both
