@@ -177,7 +177,8 @@ def scored(values: DataFrame, names: DataFrame, least: float, block_names: int =
     distinct = cut(listed.mapInPandas(forms, "form string").distinct())
     n_forms = distinct.count()
     rarity = {r.gram: r.n for r in distinct.mapInPandas(counted, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-    asked = values.select("value").where("value is not null").distinct()
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = values.select("value").where("value is not null").distinct().repartition(tasks)  # small rows with much work each: not to be merged into one task
     blocks = max(1, math.ceil(n_names / block_names))
     asked = cut(asked) if blocks > 1 else asked
     out = None
