@@ -2,6 +2,7 @@ import glob
 import io
 import math
 import os
+import random
 import re
 import zipfile
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardloom.functions import scalars
-from wardloom.operators import concepts, spans, terms
+from wardloom.operators import candidates, concepts, spans, terms
 from wardloom.plans import protect, queries, understand
 from wardloom.sources import files, terminology
 from wardloom.streaming import documents as stream
@@ -77,7 +78,7 @@ def test_detected_finds_names_after_every_label_of_clinicians(spark):
     text = "Attending Physician: Dr. Omar Vale\r\nAuthorized by:\n Dr. Ann Bell \nReported By: Ina Moor\nالطبيب المعالج: د. سالم\nاستشاري علم الأمراض : د جابر\nDoctor: Dr. Lee = x\nphysician: dr. Roe"
     found = protect.detected(spark.createDataFrame([(1, text)], "id int, text string"), ["id"])
     got = {(r.start_pos, r.value) for r in found.where("kind = 'physician_name'").collect()}
-    assert got == {(text.index(v), v) for v in ("Dr. Omar Vale", "Dr. Ann Bell", "سالم", "جابر", "dr. Roe")}
+    assert got == {(text.index(v), v) for v in ("Dr. Omar Vale", "Dr. Ann Bell", "سالم", "جابر", "dr. Roe")}  # a value with an equals sign is none
 
 
 def test_greedy_keeps_the_first_of_overlapping_spans(spark):
@@ -135,9 +136,12 @@ def test_files(spark, tmp_path):
 def test_extractors():
     e = files.Extractors()
     assert ".PDF" in e and "xyz" not in e
-    e.register("md", "txt")
+    e.register("md", lambda content: (content.decode(), "utf-8", 1, {}, []))
+    assert e.counts() == (4, 4) and e.extensions() == [".docx", ".md", ".pdf", ".txt"]
+    with pytest.raises(TypeError):
+        e.register("rtf", "txt")
     with pytest.raises(ValueError):
-        e.register(".md", "txt")
+        e.register(".md", print)
     with pytest.raises(ValueError):
         e.get("a.b")
     e.unregister("md")
@@ -146,13 +150,15 @@ def test_extractors():
 
 def test_terminologies(spark, tmp_path):
     (tmp_path / "l.csv").write_text('LOINC_NUM,LONG_COMMON_NAME,RELATEDNAMES2\n1-1,Chest X-ray,"CXR; chest film"\n2-2,,\n')
-    got = terminology.loinc(spark, str(tmp_path / "l.csv")).collect()
-    assert len(got) == 1 and got[0].synonyms == ["CXR", "chest film"] and got[0].code == "1-1"
-    (tmp_path / "r.csv").write_text("Class ID,Preferred Label,Synonyms,Parents,Obsolete\nhttp://x/RID1,lung,pulmo,http://x/RID0,FALSE\nhttp://x/RID2,old,,,TRUE\n")
-    c, e = terminology.radlex(spark, str(tmp_path / "r.csv"))
-    assert [r.canonical_name for r in c.collect()] == ["lung"] and [tuple(r) for r in e.collect()] == [("RID1", "RID0")]
-    terminology.store(c, str(tmp_path / "s"), "radlex", "4")
-    assert terminology.load(spark, str(tmp_path / "s"), spark.createDataFrame([("radlex", "4")], "source_id string, version string")).count() == 1
+    c = terminology.loinc_codes(spark, str(tmp_path / "l.csv"))
+    got = c.collect()
+    assert len(got) == 1 and got[0].synonyms == ["CXR", "chest film"] and got[0].mappings[0].external_id == "1-1"
+    terminology.store(c, str(tmp_path / "s"), "loinc", "4")
+    kept = terminology.load(spark, str(tmp_path / "s"), spark.createDataFrame([("loinc", "4")], "source_id string, version string"))
+    assert kept.count() == 1 and tuple(terminology.import_metrics(kept).first()) == (1, 1)
+    for bad in (lambda: terminology.imported(spark, "NONE", str(tmp_path)), lambda: terminology.loinc(spark, str(tmp_path)), lambda: terminology.radlex(spark, str(tmp_path)), lambda: terminology.register("DICOM", print)):
+        with pytest.raises(ValueError):
+            bad()
     (tmp_path / "d.txt").write_text("conceptId\tactive\ttypeId\tterm\n1\t1\t900000000000003001\tLung (body)\n1\t1\t5\tLung\n2\t1\t5\tArm\n1\t0\t5\tOld\n")
     got = terminology.rf2(spark, str(tmp_path / "d.txt"), spark.createDataFrame([("1",)], "concept_id string")).collect()
     assert len(got) == 1 and got[0].canonical_name == "Lung (body)" and got[0].synonyms == ["Lung"]
@@ -174,7 +180,9 @@ def test_policy_covers_every_type_once():
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert protect.deidentified(df, ["doc_id"], "research").count() == 0
-    assert understand.classified(understand.profile_scores(df)).count() == 0
+    assert understand.classified(df).count() == 0
+    assert understand.contexts(df).count() == 0
+    assert concepts.resolved(df, spark.createDataFrame([], "concept_id string, term string")).count() == 0
 
 
 def test_terms_are_given_back(spark):
@@ -188,3 +196,54 @@ def test_nearest_spans(spark):
     a = spark.createDataFrame([(1, 10, 14, "liver"), (1, 500, 505, "lung")], "doc_id int, start_pos int, end_pos int, label string")
     b = spark.createDataFrame([(1, 0, 4, "CT"), (1, 16, 18, "MRI"), (2, 10, 12, "XR")], "doc_id int, start_pos int, end_pos int, label string")
     assert [(r.label, r.near, r.gap) for r in terms.nearest(a, b, "doc_id").collect()] == [("liver", "MRI", 2)]
+
+
+def test_streams_give_what_batches_give(spark, tmp_path):
+    texts = ["Patient: Ann Bell\r\nMRN: AB-1234", "Consultant: Dr. Sam Roe\nRADIOLOGY REPORT\nFindings: CT\nImpression: x", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "request_id long, text string")
+    df.write.parquet(str(tmp_path / "in"))
+    src = stream.arriving(spark, str(tmp_path / "in"), "request_id long, text string")
+    stream.written(stream.understood(stream.protected(src, "research")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    got = {r.request_id: (r.protected, r.safe, r.classification and r.classification.document_type) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    kinds = {r.request_id: r.document_type for r in understand.classified(df, "request_id").collect()}
+    want = {r.request_id: (r.protected, r.safe, kinds.get(r.request_id)) for r in protect.deidentified(df, ["request_id"], "research").collect()}
+    assert got == want and got[0][0].startswith("Patient: [PATIENT_NAME]\r\n")
+
+
+def test_nothing_is_shuffled_to_deidentify_or_classify(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    for made in (protect.deidentified(df, ["doc_id"], "clinical"), understand.classified(df)):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_reader_without_its_library_is_a_row_with_an_error(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 broken")
+    assert files.documents(spark, str(tmp_path)).first().error
+
+
+def test_merging_is_that_of_a_loop(spark):
+    """Overlaps settled by the fold, against the same rule written as a loop over random candidates."""
+    r = random.Random(3)
+    kinds, sources = ["mrn", "person_name", "email", "exam_date", "unknown"], list(candidates.SOURCE_PRIORITY)
+    sets = [[(i, r.choice(sources), r.choice(kinds), s := r.randint(0, 30), s + r.randint(1, 8), r.choice([None, 0.9, 0.91, 0.97, 1.0]), r.choice(["accept", "reject", "review_required"])) for i in range(r.randint(0, 12))] for _ in range(60)]
+
+    def score(c: tuple) -> int:
+        return candidates.SOURCE_PRIORITY[c[1]] + candidates.DECISION_PRIORITY[c[6]] + candidates.TYPE_PRIORITY.get(c[2], 0) + (0 if c[5] is None else int(c[5] * 10))
+
+    def loop(found: list[tuple]) -> list[int]:
+        kept: list[tuple] = []
+        for c in sorted(found, key=lambda c: (-score(c), c[3] - c[4], c[3], c[0])):
+            over = [k for k in kept if c[3] < k[4] and c[4] > k[3]]
+            if over:
+                top = max(over, key=score)
+                if score(top) != score(c) or top[4] - top[3] != c[4] - c[3] or c[5] is None or top[5] is not None and c[5] <= top[5]:
+                    continue
+                kept = [k for k in kept if k not in over]
+            kept.append(c)
+        return [c[0] for c in sorted(kept, key=lambda c: (c[3], c[4]))]
+
+    flat = [(n, *c) for n, found in enumerate(sets) for c in found]
+    df = spark.createDataFrame(flat, "id int, seq int, source string, kind string, s int, e int, c double, d string")
+    x = candidates.struct(seq=F.col("seq"), source=F.col("source"), kind=F.col("kind"), start_pos=F.col("s"), end_pos=F.col("e"), value=F.lit("v"), confidence=F.col("c"), decision=F.col("d"))
+    got = {g.id: g.k for g in df.groupBy("id").agg(F.array_sort(F.collect_list(x)).alias("f")).select("id", F.transform(candidates.settled(F.col("f")), lambda y: y["seq"]).alias("k")).collect()}
+    assert got == {n: loop(found) for n, found in enumerate(sets) if found}

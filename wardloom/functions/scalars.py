@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is worked out once however often it is used: a lambda's argument is a variable, a column is a copy."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 # Arabic-Indic and Persian digits.
 OTHER_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 
@@ -24,12 +33,12 @@ def masked(value: Column) -> Column:
     return F.when(n <= 4, F.repeat(F.lit("*"), n)).otherwise(F.concat(F.substring(value, 1, 2), F.repeat(F.lit("*"), n - 4), F.substring(value, n - 1, F.lit(2))))
 
 
-def transformed(value: Column, kind: Column, action: Column) -> Column:
+def transformed(value: Column, kind: Column, action: Column, hash_length: int = 10) -> Column:
     """What stands for ``value`` of type ``kind`` under a policy's ``action``; an unknown action keeps it."""
     tag = F.upper(kind)
     return (
         F.when(action == "replace", F.concat(F.lit("["), tag, F.lit("]")))
-        .when(action == "hash", F.concat(F.lit("["), tag, F.lit(":"), stable_hash(value), F.lit("]")))
+        .when(action == "hash", F.concat(F.lit("["), tag, F.lit(":"), stable_hash(value, hash_length), F.lit("]")))
         .when(action == "mask", masked(value))
         .when(action == "remove", F.lit("[REMOVED]"))
         .otherwise(value)
@@ -62,3 +71,26 @@ def extension(path: Column) -> Column:
 
 def letters(text: Column, ranges: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{ranges}]", ""))
+
+
+#: Signs that end a line.
+LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\f\\x1c-\\x1e\\x85\\u2028\\u2029]"
+
+
+def text_lines(text: Column) -> Column:
+    return F.split(text, LINE_BREAK)
+
+
+def lookup(values: dict, column: Column, default: object) -> Column:
+    """The value of a small table of fixed values."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[column], F.lit(default))
+
+
+def blank(text: Column) -> Column:
+    """Whether nothing but blanks and line breaks stands in a text; null for null."""
+    return ~text.rlike(r"[^\s   -     　\x1c-\x1f\x85]")
+
+
+def with_worked_out(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are worked out once for each row: they pass a generator, through which the optimiser moves no copies of them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -5,26 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardloom.functions.scalars import bound
 
-def located(text: Column, pattern: str, lead: int = 0, value: int = 0) -> Column:
-    """array<struct<start_pos, end_pos, value>> of all matches of ``pattern``.
+
+SPANS = "array<struct<start_pos:int,end_pos:int,value:string,lead:string>>"
+
+
+def located(text: Column, pattern: str | Column, lead: int = 0, value: int = 0) -> Column:
+    """array<struct<start_pos, end_pos, value, lead>> of all matches of ``pattern``; empty if there are none.
 
     ``value`` is the group that the span is, ``lead`` the group that stands before it in the match (0: the match begins
-    with the value). Groups must be adjacent. Offsets count code points.
+    with the value). Groups must be adjacent. Offsets count code points. Texts without a match are only searched once.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    leads = F.regexp_extract_all(text, F.lit(pattern), F.lit(lead)) if lead else F.transform(found, lambda _: F.lit(""))
-    rows = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.greatest(F.size(found), F.lit(0))).alias("b"), leads.alias("l"), F.regexp_extract_all(text, F.lit(pattern), F.lit(value)).alias("v"))
-    kind = "array<struct<start_pos:int,end_pos:int,value:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    p = F.lit(pattern) if isinstance(pattern, str) else pattern
+    groups = {"m": 0, "l": lead, "v": value}
+    every = {n: F.regexp_extract_all(text, p, F.lit(g)) for n, g in groups.items() if n == "m" or g}
+    rows = F.arrays_zip(F.split(text, p, -1).alias("b"), *[c.alias(n) for n, c in every.items()])  # what stands before the first, then each match; the last has none
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["b"]) + F.length(x["l"])
-        span = F.struct(start.alias("start_pos"), (start + F.length(x["v"])).alias("end_pos"), x["v"].alias("value"))
-        return F.struct((a["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
+        ahead = x["l"] if lead else F.lit("")
+        start = a["at"] + F.length(x["b"]) + F.length(ahead)
+        own = x["v"] if value else x["m"]
+        span = F.struct(start.alias("start_pos"), (start + F.length(own)).alias("end_pos"), own.alias("value"), ahead.alias("lead"))
+        return F.when(x["m"].isNull(), a).otherwise(F.struct((a["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(span)).alias("out")))
 
-    return F.aggregate(rows, zero, step, lambda a: a["out"])
+    return F.when(F.regexp_like(text, p), F.aggregate(rows, zero, step, lambda a: a["out"])).otherwise(F.array().cast(SPANS))
 
 
 def extracted(df: DataFrame, keys: list[str], text: str, rules: list[tuple[str, str, str, str, int, int]]) -> DataFrame:
@@ -43,7 +49,7 @@ def extracted(df: DataFrame, keys: list[str], text: str, rules: list[tuple[str,
 
 def greedy(spans: Column) -> Column:
     """The spans of an array kept in its order unless they overlap one kept before, sorted by start; each has start_pos and end_pos."""
-    kept = F.aggregate(spans, F.slice(spans, 1, 0), lambda a, x: F.when(F.exists(a, lambda y: (x["start_pos"] < y["end_pos"]) & (x["end_pos"] > y["start_pos"])), a).otherwise(F.concat(a, F.array(x))))
+    kept = bound(spans, lambda s: F.aggregate(s, F.slice(s, 1, 0), lambda a, x: F.when(F.exists(a, lambda y: (x["start_pos"] < y["end_pos"]) & (x["end_pos"] > y["start_pos"])), a).otherwise(F.concat(a, F.array(x)))))
     return F.array_sort(kept, lambda p, q: F.when(p["start_pos"] < q["start_pos"], -1).when(p["start_pos"] > q["start_pos"], 1).otherwise(0))
 
 

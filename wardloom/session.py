@@ -61,3 +61,15 @@ def may_contain(df: DataFrame, column: str, keys: DataFrame, key: str, log2_bits
         .where(byte.bitwiseAND(F.expr("shiftleft(1, _at % 8)")) != 0)
         .drop("_bucket", "_at", "_bits")
     )
+
+
+def put(spark: SparkSession, folder: str, files: dict[str, bytes | str]) -> str:
+    """Write small files into a folder of the shared checkpoint folder, through the file system it is on; their folder's path."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/{folder}"
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name, content in files.items():
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        out = path.getFileSystem(conf).create(path, True)
+        out.write(bytearray(content.encode() if isinstance(content, str) else content))
+        out.close()
+    return root

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wardloom.functions.scalars import transformed
-from wardloom.operators.spans import greedy, located, rewritten
-from wardloom.plans.protect import EMAIL_RULE, FIELD_RULES, PHONE_RULE, actions, decision
+from wardloom.functions.scalars import with_worked_out
+from wardloom.plans import understand
+from wardloom.plans.protect import judged, output
 from wardloom.plans.understand import script_language
 
 
@@ -23,21 +23,22 @@ def once(df: DataFrame, key: str, arrived: str, late: str = "1 day") -> DataFram
 
 
 def protected(df: DataFrame, profile: str, text: str = "text") -> DataFrame:
-    """``df`` with ``protected`` and ``language``: row by row, without state, so that it runs in any stream."""
-    spans = []
-    for seq, (_, kind, _, pattern, lead, value) in enumerate([*FIELD_RULES, EMAIL_RULE, PHONE_RULE]):
-        act = actions(profile, F.lit(kind))
-        spans.append(F.transform(F.filter(located(F.col(text), pattern, lead, value), _accepted(kind)), _span(seq, kind, act)))
-    ordered = F.transform(F.array_sort(F.concat(*spans)), lambda x: F.struct(x["start_pos"].alias("start_pos"), x["end_pos"].alias("end_pos"), x["replacement"].alias("replacement")))
-    return df.withColumn("protected", F.when(F.col(text).isNotNull(), rewritten(F.col(text), greedy(ordered)))).withColumn("language", script_language(F.col(text)))
+    """``df`` with ``protected``, ``safe`` and ``language``: row by row, without state, by the rules and in the way of batches."""
+    t = F.col(text)
+    out = with_worked_out(judged(df, text, name="_found"), _out=F.when(t.isNotNull(), output(t, F.col("_found"), profile)))
+    return out.withColumn("protected", F.col("_out.protected")).withColumn("safe", F.col("_out.safe")).withColumn("language", script_language(t)).drop("_found", "_out")
 
 
-def _accepted(kind: str):
-    return lambda x: decision(F.lit(kind), x["value"]) == "accept"
+def understood(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``classification`` and ``route``, row by row."""
+    out = understand.understood(df, text).drop("sections", "signals", "scores")
+    return out.withColumn("route", understand.routing(F.col("classification.document_type"), F.col("classification.confidence_band")))
 
 
-def _span(seq: int, kind: str, act):
-    return lambda x: F.struct((x["start_pos"] - x["end_pos"]).alias("size"), F.lit(seq).alias("seq"), x["start_pos"].alias("start_pos"), x["end_pos"].alias("end_pos"), transformed(x["value"], F.lit(kind), act).alias("replacement"))
+def latest(df: DataFrame, key: str, touched: str, kept: int = 32) -> DataFrame:
+    """The ``kept`` rows that were touched last, one a key: what a bounded store of documents holds. A top-k, so no row is numbered by one task."""
+    last = df.groupBy(key).agg(F.max(touched).alias(touched), F.max_by(F.struct(*[c for c in df.columns if c not in (key, touched)]), touched).alias("_row"))
+    return last.orderBy(F.desc(touched), key).limit(kept).select(key, touched, "_row.*")
 
 
 def written(df: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
