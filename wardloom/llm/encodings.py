@@ -132,6 +132,7 @@ class CharacterModel:
         self.pairs, self.single = pairs.astype("float32"), single.astype("float32")
         self.gains: dict[tuple[str, str, str, str], float] = {}
         self.words: dict[str, tuple[str, ...]] = {}
+        self.logs: dict[str, float] = {}
 
     @staticmethod
     def codes(text: str) -> np.ndarray:
@@ -143,11 +144,22 @@ class CharacterModel:
         return ((c[:-1] * 40503 + c[1:]) * 2654435761 >> 8) % BIGRAMS
 
     def score(self, text: str) -> float:
-        c = self.codes(text)
-        first, second = self.single[c[:-1]], self.single[c[1:]]
-        seen = np.minimum(self.pairs[self.pair(c)], np.minimum(first, second))  # pairs that share a place don't lend to rare signs
-        return float(np.log((seen + 3 * np.exp(self.own[c[1:]])) / (first + 3)).sum())
-
+        known = self.logs
+        total = 0.0
+        for pair in map(str.__add__, text, text[1:]):
+            x = known.get(pair)
+            if x is None:
+                if len(known) > 500_000:
+                    known.clear()
+                x = known[pair] = self.pair_score(pair)
+            total += x
+        return total
+
+    def pair_score(self, pair: str) -> float:
+        c = self.codes(pair)
+        first, second = self.single[c[0]], self.single[c[1]]
+        seen = min(self.pairs[self.pair(c)][0], first, second)  # pairs that share a place don't lend to rare signs
+        return float(np.log((seen + 3 * np.exp(self.own[c[1]])) / (first + 3)))
 
     def gain(self, before: str, stored: str, was: str, after: str) -> float:
         """How much better ``was`` reads than ``stored``; words come again and again, so the last ones are kept."""
@@ -220,6 +232,8 @@ def utf8_signs(read: str) -> re.Pattern:
 
 UTF8_CHAINS = [c for c in CHAINS if CHAINS[c][0][0] == "utf-8"]
 OTHER_CHAINS = [c for c in CHAINS if CHAINS[c][0][0] != "utf-8"]
+#: The signs that the last reading of a chain gives to bytes beyond ASCII.
+READ_SIGNS = {c: frozenset(map(chr, byte_table(CHAINS[c][-1][1]))) for c in CHAINS}
 #: Signs that have a byte in an encoding that texts are wrongly read in.
 ODD_SIGNS = frozenset(chr(c) for x in OTHER_CHAINS for c in byte_table(CHAINS[x][-1][1]))
 
@@ -248,7 +262,7 @@ def proposals(text: str, model: CharacterModel) -> list[tuple[str, float]]:
         if chains is None:
             if len(model.words) > 300_000:
                 model.words.clear()
-            chains = model.words[word] = tuple(c for c in OTHER_CHAINS if any(g > 0 for *_, g in gains(f" {word} ", c, model)))
+            chains = model.words[word] = tuple(c for c in OTHER_CHAINS if not READ_SIGNS[c].isdisjoint(word) and any(g > 0 for *_, g in gains(f" {word} ", c, model)))
         helped.update(chains)
     likely += [c for c in OTHER_CHAINS if c in helped]
     if not likely:
@@ -273,6 +287,8 @@ def helpful(line: str, chain: str, model: CharacterModel, start_cost: float = 3.
     Parts of UTF-8 speak for themselves. Between single-byte encodings every word could be one, so they count in stretches
     of neighbouring words, as long as the whole stretch gains more than ``start_cost``.
     """
+    if READ_SIGNS[chain].isdisjoint(line):
+        return []
     parts = gains(line, chain, model)
     if CHAINS[chain][0][0] == "utf-8" or len(parts) == 0:
         return [p for p in parts if p[-1] > 0]

@@ -62,12 +62,21 @@ ADDRESSES = [
     re.compile(r"شارع [ء-ي]+(?: [ء-ي]+){0,2} \d+(?:، ?[ء-ي]+(?: [ء-ي]+){0,3})?"),
     re.compile(r"(?:ص\.? ?ب\.?|صندوق بريد) ?\d+(?:، ?[ء-ي]+(?: [ء-ي]+){0,2})?"),
 ]
-#: One of these, in small letters, stands in every match of the pattern of the same place.
+#: What stands in every match of the pattern of the same place: one of the signs as written, or in small letters, and a part of it.
 ADDRESS_SIGNS = [
-    ("box", "postfach", "apartado", "apdo", "b.p."), tuple(STREETS.split("|")), ("block",), ("rue", "avenue", "boulevard", "place", "chemin", "impasse", "quai", "allée", "cours", "route"),
-    ("straße", "strasse", "weg", "gasse", "platz", "allee", "ring", "damm", "am ", "an der ", "im ", "zum ", "zur ", "auf dem ", "unter den "),
-    ("calle", "c/", "avda", "avenida", "plaza", "paseo", "camino", "carretera", "ronda", "travesía"), ("قطعة",), ("شارع",), ("ص", "صندوق"),
+    ((), ("box", "postfach", "apartado", "apdo", "b.p."), None), ((), tuple(f" {x}" for x in STREETS.split("|")), re.compile(rf"\d[A-Za-z]?,? [{_UP}]")), ((), ("block",), None),
+    ((), tuple(f" {x} " for x in "rue avenue boulevard place chemin impasse quai allée cours route".split()), None),
+    ((), (), re.compile(rf"(?:[sS]traße|[sS]trasse|[wW]eg|[gG]asse|[pP]latz|[aA]llee|[rR]ing|[dD]amm) \d|(?:Am|An der|Im|Zum|Zur|Auf dem|Unter den) [{_UP}]\S* \d")),
+    (("Calle", "C/", "Avda", "Avenida", "Plaza", "Paseo", "Camino", "Carretera", "Ronda", "Travesía"), (), None), (("قطعة",), (), None), (("شارع",), (), None), (("ص", "صندوق"), (), None),
 ]
+
+
+def address_matches(text: str, low: str) -> Iterator[re.Match]:
+    for r, (written, small, part) in zip(ADDRESSES, ADDRESS_SIGNS):
+        if (not written or any(x in text for x in written)) and (not small or any(x in low for x in small)) and (part is None or part.search(text)):
+            yield from r.finditer(text)
+
+
 PARTICLE = r"(?:bin|ibn|bint|van der|van|von|de la|del|de|da|di|el|al)"
 PART = rf"(?:[{_UP}]\.(?!\w)|[{_UP}][{_LOW}]+(?:[-'’][{_UP}][{_LOW}]+)*|[{_UP}]{{2,}}(?:-[{_UP}]{{2,}})*)"
 NAMES = re.compile(rf"(?<![\w@.+-]){PART}(?:(?: (?:{PARTICLE}|{PARTICLE.upper()}))? {PART}){{0,4}}(?:, {PART}(?:(?: {PARTICLE})? {PART}){{0,2}})?")
@@ -79,23 +88,41 @@ EDGES = ".,;:!?()[]{}<>\"'“”‘’«»،؛؟…-–—/|="
 WORD = re.compile(r"[^\W_][\w.'’=-]*")
 ODD = frozenset(c for c in character_table() if c != " " and not "؀" <= c <= "ݿ" and unicodedata.normalize("NFC", character_table()[c]) != c) | frozenset(map(chr, range(0x300, 0x370)))
 
+MARKS = "\u0300", "\u036f"
+ODD_SIGN = re.compile("[" + re.escape("".join(sorted(ODD))) + "]")
+FOLDED = {ord(c): unicodedata.normalize("NFC", character_table()[c]) for c in ODD if c in character_table() and not ("\u0600" <= c <= "\u06ff")}
+#: Signs that don't fold to exactly one.
+RESIZING = frozenset(c for c in ODD if len(FOLDED.get(ord(c), c)) != 1 or MARKS[0] <= c <= MARKS[1])
+
 
 def fold(text: str) -> tuple[str, list[int] | None]:
     """The text with look-alikes, invisible signs and combining accents made plain, and the stored offset of each of its signs; none if nothing changed."""
     if text.isascii() or ODD.isdisjoint(text):
         return text, None
+    if RESIZING.isdisjoint(text):
+        return text.translate(FOLDED), None  # sign for sign, so that offsets stay
     out: list[str] = []
     at: list[int] = []
     table = character_table()
-    for i, c in enumerate(text):
-        if "\u0300" <= c <= "\u036f" and out:
-            both = unicodedata.normalize("NFC", out[-1] + c)
-            if len(both) == 1:
-                out[-1] = both
+    done = 0
+    for m in ODD_SIGN.finditer(text):
+        i, c = m.start(), m.group()
+        if i > done:
+            out.append(text[done:i])
+            at += range(done, i)
+        done = i + 1
+        if MARKS[0] <= c <= MARKS[1] and out:
+            last = out[-1]
+            both = unicodedata.normalize("NFC", last[-1:] + c)
+            if last and len(both) == 1:
+                out[-1] = last[:-1] + both
                 continue
-        t = unicodedata.normalize("NFC", table[c]) if c in table and not ("؀" <= c <= "ۿ") else c
-        out += t
-        at += [i] * len(t)
+        t = unicodedata.normalize("NFC", table[c]) if c in table and not ("\u0600" <= c <= "\u06ff") else c
+        if t:
+            out.append(t)
+            at += [i] * len(t)
+    out.append(text[done:])
+    at += range(done, len(text))
     return "".join(out), at
 
 
@@ -167,6 +194,8 @@ def learned_lists(texts: DataFrame, text: str = "text", share: float = 2e-6) ->
     return Lists({r.w for r in told if r.name}, {r.w for r in told if not r.name}), judged.where("not often").select("w", "name")
 
 
+INITIAL = re.compile(rf"[{_UP}]\.")
+TITLE_OR_NAME = TITLE_SET | NAME_SET
 EPONYM = re.compile(rf"(?:['’]s)? (?:{EPONYM_AFTER})\b", re.I)
 GROUPED = re.compile(r"\(\d{3}\) ?\d{3}-\d{4}|\d\d(?: \d\d){4}|\d{4}[. ]\d{4}|0\d{2,4}/\d{5,9}")
 
@@ -232,12 +261,10 @@ def candidates(text: str, lists: Lists, asked: set[str]) -> list[tuple[int, int,
             for m in r.finditer(text):
                 out.append((m.start(), m.end(), EMAIL, [EMAIL if sure else ABSTAIN, EMAIL if " dot " in m.group().lower() or "@" in m.group() else ABSTAIN, EMAIL if re.search(r"[\d._+]", m.group()) else ABSTAIN]))
                 taken.append((m.start(), m.end()))
-    for r, signs in zip(ADDRESSES, ADDRESS_SIGNS):
-        for m in r.finditer(text) if any(x in low for x in signs) else ():
-            before = words_before(text, m.start(), 3)
-            e = m.end()
-            out.append((m.start(), e, ADDRESS, [ADDRESS if any(c.isdigit() for c in m.group()) else NONE, ADDRESS if set(before) & HOME_SET else ABSTAIN, ADDRESS if "," in m.group() or "،" in m.group() else ABSTAIN, NONE if before and before[-1] in OTHER_SET else ABSTAIN]))
-            taken.append((m.start(), e))
+    for m in address_matches(text, low):
+        before = words_before(text, m.start(), 3)
+        out.append((m.start(), m.end(), ADDRESS, [ADDRESS if any(c.isdigit() for c in m.group()) else NONE, ADDRESS if set(before) & HOME_SET else ABSTAIN, ADDRESS if "," in m.group() or "،" in m.group() else ABSTAIN, NONE if before and before[-1] in OTHER_SET else ABSTAIN]))
+        taken.append((m.start(), m.end()))
     free = lambda s, e: all(e <= a or s >= b for a, b in taken)
     for r in (CODE, NUMBER):
         for m in r.finditer(text):
@@ -246,8 +273,10 @@ def candidates(text: str, lists: Lists, asked: set[str]) -> list[tuple[int, int,
                 if r is CODE:
                     taken.append((m.start(), m.end()))
     for m in NAMES.finditer(text):
-        for w in re.findall(r"[^\s,]+", m.group()):
-            asked |= forms(w)
+        looked_up, may_name, words = run_of(m.group())
+        asked |= looked_up
+        if not may_name and not any(w in lists.names for w in words) and not follows_title(text, m.start()):
+            continue  # no part of it is known, an initial, or after a title
         for s, e in name_spans(text, m.start(), m.end(), lists):
             if free(s, e):
                 out.append((s, e, NAME, name_votes(text, s, e, lists)))
@@ -261,6 +290,19 @@ def candidates(text: str, lists: Lists, asked: set[str]) -> list[tuple[int, int,
     return out
 
 
+@lru_cache(1 << 16)
+def run_of(run: str) -> tuple[frozenset[str], bool, tuple[str, ...]]:
+    """Of a run of capitalised words: the forms it is looked up in, whether it holds an initial or a title, and its words as names."""
+    words = re.findall(r"[^\s,]+", run)
+    plain = [w.strip(".,").casefold() for w in words]
+    return frozenset().union(*map(forms, words)), any(INITIAL.fullmatch(w) or w.lower().rstrip(".:=") in TITLE_SET | NAME_SET for w in words), tuple(w[:-2] if w.endswith(("'s", "’s")) else w for w in plain)
+
+
+def follows_title(text: str, start: int) -> bool:
+    before = words_before(text, start, 1)
+    return bool(before) and before[0] in TITLE_OR_NAME
+
+
 def name_spans(text: str, s: int, e: int, lists: Lists) -> list[tuple[int, int]]:
     """The parts of a run of capitalised words that may be a name: titles, roles and common words at its ends go; two names joined by a comma part."""
     words = [(m.start() + s, m.end() + s) for m in re.finditer(r"[^\s,]+", text[s:e])]

@@ -101,8 +101,8 @@ def with_colon(line: str) -> str:
     return folded(line) + ":" if line.rstrip().endswith((":", "：")) else folded(line)
 
 
-def count_text(text: str) -> Iterator[tuple[str, str, str, str]]:
-    """(language, what, a, b) of every event that the statistics count."""
+def count_text(text: str, counts: Counter) -> None:
+    """Adds every event that the statistics count, as (language, what, a, b)."""
     before = ""
     for _, line in lines_of(text):
         last, before = before, line
@@ -110,31 +110,33 @@ def count_text(text: str) -> Iterator[tuple[str, str, str, str]]:
             continue
         lang = statistics_language(line)
         words = line.split()
-        yield lang, "lines", "", ""
-        if not ITEM.match(line):
-            yield lang, "resumes" if last.strip() and not final(last) else "opens", opening(line), ""
-        if not final(line):
-            if len(words) <= 7 and not ITEM.match(line):
-                yield lang, "alone", folded(line), ""
-        if final(line) or len(words) > 7:
+        ended, item = final(line), ITEM.match(line)
+        counts[lang, "lines", "", ""] += 1
+        if not item:
+            counts[lang, "resumes" if last.strip() and not final(last) else "opens", opening(line), ""] += 1
+        if not ended and len(words) <= 7 and not item:
+            counts[lang, "alone", folded(line), ""] += 1
+        if ended or len(words) > 7:
             for n in range(1, min(7, len(words))):
-                yield lang, "begins", with_colon(" ".join(words[:n])), ""
+                counts[lang, "begins", with_colon(" ".join(words[:n])), ""] += 1
         if m := LABEL.match(line):
-            yield lang, "label final" if final(line) else "label open", folded(m.group(1)), ""
-        tokens = [m for m in TOKEN.finditer(line)]
-        for m, nxt in zip(tokens, [*tokens[1:], None]):
-            t = m.group()
-            w = kind(t)
-            yield lang, "token", w, ""
-            if t.endswith(".") and line[m.end() : m.end() + 1] != ".":
-                yield lang, "period", w, ""
-                rest = line[m.end() :].lstrip(" \u00a0")[:1]
-                if rest.islower() or rest.isdigit() or rest in ",;:،؛" and rest:
-                    yield lang, "goes on", w, ""
-                if nxt is not None:
-                    yield lang, "pair", w, kind(nxt.group())
-                else:
-                    yield lang, "ends", w, ""
+            counts[lang, "label final" if ended else "label open", folded(m.group(1)), ""] += 1
+        tokens = list(TOKEN.finditer(line))
+        kinds = [kind(m.group()) for m in tokens]
+        counts.update([(lang, "token", w, "") for w in kinds])
+        for i, m in enumerate(tokens):
+            end = m.end()
+            if line[end - 1] != "." or line[end : end + 1] == ".":
+                continue
+            w = kinds[i]
+            counts[lang, "period", w, ""] += 1
+            rest = line[end:].lstrip(" \u00a0")[:1]
+            if rest.islower() or rest.isdigit() or rest in ",;:،؛" and rest:
+                counts[lang, "goes on", w, ""] += 1
+            if i + 1 < len(tokens):
+                counts[lang, "pair", w, kinds[i + 1]] += 1
+            else:
+                counts[lang, "ends", w, ""] += 1
 
 
 def log_likelihood(a: float, b: float, ab: float, n: float) -> float:
@@ -161,6 +163,7 @@ class Statistics:
         self.opens: set[tuple[str, str]] = set()
         self.sentence_labels: set[tuple[str, str]] = set()
         self.begins: set[tuple[str, str]] = set()
+        self.all_abbreviations: set[str] = set()
         c = counts.get
         for lang in {k[0] for k in counts}:
             n = max(1, c((lang, "all token", "", ""), 0))
@@ -168,6 +171,7 @@ class Statistics:
             own = [(what, a, b, k) for (g, what, a, b), k in counts.items() if g == lang]
             abbr = self.abbreviations_of(counts, lang)
             self.abbreviations[lang] = abbr
+            self.all_abbreviations |= abbr
             if lang in LATIN:
                 self.abbreviations.setdefault("any Latin", set()).update(abbr)
             # periods after abbreviations say nothing about what begins a sentence
@@ -224,7 +228,7 @@ def learned(texts: DataFrame, text: str = "text", share: float = 5e-6) -> Statis
         for b in batches:
             c: Counter = Counter()
             for t in b["t"]:
-                c.update(count_text(t))
+                count_text(t, c)
             yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["lang", "what", "a", "b", "n"])
 
     src = spread(texts.select(F.col(text).alias("t")).where("t is not null and t != ''"))
@@ -410,6 +414,10 @@ def split_block(text: str, start: int, end: int, lang: str, s: Statistics) -> It
                     pass
                 if t is not None and t.end() == m.end():
                     w = kind(t.group())
+                    if w not in s.all_abbreviations and not (len(w) <= 4 and w.isalpha()):  # no way for it to be one
+                        yield at, i
+                        at = i
+                        continue
                     nt = TOKEN.search(text, i, end)
                     x = kind(nt.group()) if nt else ""
                     initial = len(w) == 1 and w.isalpha()
