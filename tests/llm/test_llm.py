@@ -2,6 +2,7 @@ import math
 import random
 import unicodedata
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +81,42 @@ def test_packs_hold_every_token_once(spark):
     assert not {100, 101} & {x.doc_id for x in got}
 
 
+def test_packs_keep_every_limit(spark):
+    rows = [(i, "head line of a prompt " * (i % 4 * 150) + "\n" + "word " * (i * 53 % 1500)) for i in range(60)] + [(98, "prompt " * 5000 + "\nx"), (99, "long text " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    size = {x.doc_id: (x.tokens, x.loss) for x in packing.sizes(df).collect()}
+    got = packing.packed(df, max_segments=5, max_loss=900, group=25).collect()
+    by: dict[int, list] = {}
+    for x in got:
+        by.setdefault(x.pack_id, []).append(x)
+    assert all(sum(x.tokens for x in p) <= 2048 and sum(x.loss for x in p) <= 900 and len(p) <= 5 for p in by.values())
+    for d, (n, loss) in size.items():
+        own = sorted((x.first_token, x.last_token, x.loss) for x in got if x.doc_id == d)
+        assert own[0][0] == 0 and own[-1][1] == n and all(a[1] == b[0] and a[0] < a[1] for a, b in zip(own, own[1:])) and sum(x[2] for x in own) == loss
+        assert len(own) == 1 or n > 2048 or loss > 900
+    for bad in ({"max_loss": 3000}, {"max_loss": 0}, {"max_segments": 0}):
+        with pytest.raises(ValueError):
+            packing.packed(df, **bad)
+
+
+def test_windows_of_very_long_texts_have_the_same_minima(monkeypatch):
+    order = np.random.default_rng(3).integers(0, 1 << 63, 5000).astype("uint64")
+    order[100:200] = order[300]
+    short = spans.sliding_argmin(order, 37)
+    monkeypatch.setattr(spans, "PLACE_BITS", 12)
+    assert (spans.sliding_argmin(order[:4000], 37) == short[: 4000 - 36]).all() and (spans.sliding_argmin(order, 37) == short).all()
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "eval_items"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    columns = queries.QUERIES[name](spark, sf_dir)
+    got = sorted(tuple(r) for r in columns.collect())
+    assert got == sorted(con.execute(f"SELECT {', '.join(columns.columns)} FROM ({queries.SQL[name]})").fetchall())
+
+
 # -- same look (problem 3)
 
 

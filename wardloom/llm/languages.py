@@ -40,7 +40,7 @@ class ByteGru:
 
     def __init__(self, hidden: int = 20, classes: int = len(LANGUAGES), seed: int = 5):
         r = np.random.default_rng(seed)
-        self.hidden, self.only_read = hidden, False
+        self.hidden = hidden
         w = lambda *s: (r.standard_normal(s) * 0.2).astype("float32")
         u = lambda: np.concatenate([np.linalg.qr(r.standard_normal((hidden, hidden)))[0] for _ in range(3)], 1).astype("float32")
         self.p = {"xf": w(256, 3 * hidden), "uf": u(), "xb": w(256, 3 * hidden), "ub": u(), "o": w(2 * hidden, classes), "c": np.zeros(classes, "float32")}
@@ -51,15 +51,13 @@ class ByteGru:
         steps, batch = x.shape
         h, out, kept = np.zeros((batch, n), "float32"), np.empty((steps, batch, n), "float32"), []
         live = (x > 0).astype("float32")[..., None]
-        keep = not self.only_read
         for t in range(steps - 1, -1, -1) if back else range(steps):
             a, g = h3[t], h @ u
             zr = 1 / (1 + np.exp(-(a[:, : 2 * n] + g[:, : 2 * n])))
             z, r = zr[:, :n], zr[:, n:]
             c = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
             new = h + live[t] * (1 - z) * (c - h)
-            if keep:
-                kept.append((t, h, z, r, c, g[:, 2 * n :]))
+            kept.append((t, h, z, r, c, g[:, 2 * n :]))
             h = out[t] = new
         return out, kept
 
@@ -70,11 +68,44 @@ class ByteGru:
         return s @ self.p["o"] + self.p["c"], (s, kf, kb)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        self.only_read = True
-        y, _ = self.logits(x)
-        self.only_read = False
-        e = np.exp(y - y.max(-1, keepdims=True))
-        return e / e.sum(-1, keepdims=True)
+        """As the softmax of ``logits``, with nothing kept for a gradient: sigmoids and tangents by one exponential each, in place."""
+        n, (steps, batch) = self.hidden, x.shape
+        states, live = np.empty((steps, batch, 2 * n), "float32"), (x > 0).astype("float32")[..., None]
+        whole = bool(live.all())
+        g, zr, c = np.empty((batch, 3 * n), "float32"), np.empty((batch, 2 * n), "float32"), np.empty((batch, n), "float32")
+        with np.errstate(over="ignore"):
+            for d, part in (("f", states[:, :, :n]), ("b", states[:, :, n:])):
+                w, u, h = self.p["x" + d].copy(), self.p["u" + d].copy(), np.zeros((batch, n), "float32")
+                w[:, : 2 * n] *= -1
+                u[:, : 2 * n] *= -1
+                for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+                    np.matmul(h, u, out=g)
+                    a = w[x[t]]
+                    np.add(a[:, : 2 * n], g[:, : 2 * n], out=zr)
+                    np.exp(zr, out=zr)
+                    zr += 1
+                    np.reciprocal(zr, out=zr)
+                    np.multiply(zr[:, n:], g[:, 2 * n :], out=c)
+                    c += a[:, 2 * n :]
+                    c *= 2
+                    np.exp(c, out=c)
+                    c += 1
+                    np.reciprocal(c, out=c)
+                    c *= -2
+                    c += 1
+                    c -= h
+                    np.subtract(1, zr[:, :n], out=zr[:, :n])
+                    c *= zr[:, :n]
+                    if not whole:
+                        c *= live[t]
+                    h += c
+                    part[t] = h
+        y = states.reshape(-1, 2 * n) @ self.p["o"]
+        y += self.p["c"]
+        y -= y.max(-1, keepdims=True)
+        np.exp(y, out=y)
+        y /= y.sum(-1, keepdims=True)
+        return y.reshape(steps, batch, -1)
 
     def gradient(self, x: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
         y, (s, kf, kb) = self.logits(x)

@@ -86,8 +86,10 @@ class ItemSearch:
             return found
         joined = f" {' '.join(w)} "
         for engine, owners in self.engines:
-            for start, k in engine.find(joined):
-                here = joined.count(" ", 0, start)
+            here = at_sign = 0
+            for start, k in engine.find(joined):  # from left to right, so blanks are counted once
+                here += joined.count(" ", at_sign, start)
+                at_sign = start
                 for at, first in owners[k]:
                     item_id, iw, need = self.items[at]
                     if item_id not in found and self._run(w, here, iw, first) >= need:

@@ -81,24 +81,31 @@ def pack(demand: np.ndarray, capacity: np.ndarray) -> np.ndarray:
 def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, max_segments: int = 64, max_loss: int | None = None, tokenizer: str = TOKENIZER, group: int = 5000, full: float = 0.97) -> DataFrame:
     """(pack_id, doc_id, piece, first_token, last_token, tokens, loss, pack_tokens, pack_segments): each piece of a text and its pack.
 
-    A text is cut, every ``capacity`` tokens, only if it alone exceeds a pack. Items are packed in groups of about
+    A text is cut only if it alone exceeds a pack: every ``capacity`` tokens, or where its loss-bearing tokens reach
+    ``max_loss`` (by default the capacity), so that no piece exceeds any limit. Items are packed in groups of about
     ``group``, a bound on a task's memory that doesn't depend on the input; the items of packs filled to less than
     ``full`` go into a second round of such groups, so that groups leave no room unused at their ends. Null or empty
     texts have no tokens and come out in no pack. Repeated rows are items of their own.
     """
     loss_cap = capacity if max_loss is None else max_loss
+    if min(capacity, max_segments, loss_cap) < 1 or loss_cap > capacity:
+        raise ValueError("limits are at least 1, and that on loss-bearing tokens at most the capacity")
     whole = cut(sizes(docs, doc_id, text, tokenizer))
-    n_pieces = F.ceil(F.col("tokens") / capacity).cast("int")
+    # full pieces of the prompt, one with its rest and the first loss-bearing tokens, then pieces of loss-bearing tokens
+    prompt, tokens, size = F.col("tokens") - F.col("loss"), F.col("tokens"), F.lit(capacity)
+    whole = whole.withColumn("k", F.floor(prompt / size).cast("int")).withColumn("prompt", prompt)
+    whole = whole.withColumn("e", F.least(tokens, F.col("prompt") + F.least(F.lit(loss_cap), size - (F.col("prompt") - F.col("k") * size))).cast("int"))
+    rest = F.ceil((tokens - F.col("e")) / loss_cap).cast("int")
+    count = F.col("k") + F.when(F.col("e") > F.col("k") * size, 1).otherwise(0) + rest
+    start = F.when(F.col("piece") <= F.col("k"), F.col("piece") * size).otherwise(F.col("e") + (F.col("piece") - F.col("k") - 1) * loss_cap)
+    end = F.when(F.col("piece") < F.col("k"), (F.col("piece") + 1) * size).when(F.col("piece") == F.col("k"), F.col("e")).otherwise(F.least(tokens, F.col("e") + (F.col("piece") - F.col("k")) * loss_cap))
     pieces = (
-        whole.withColumn("piece", F.explode(F.sequence(F.lit(0), n_pieces - 1)))
-        .withColumn("first_token", (F.col("piece") * capacity).cast("int"))
-        .withColumn("last_token", F.least(F.col("first_token") + capacity, F.col("tokens")).cast("int"))
-        .withColumn("prompt", F.col("tokens") - F.col("loss"))
+        whole.withColumn("piece", F.explode(F.sequence(F.lit(0), count - 1)))
+        .withColumn("first_token", start.cast("int")).withColumn("last_token", end.cast("int"))
         .select(
             "doc_id", "piece", "first_token", "last_token", (F.col("last_token") - F.col("first_token")).cast("int").alias("tokens"),
             F.greatest(F.lit(0), F.col("last_token") - F.greatest("first_token", "prompt")).cast("int").alias("loss"),
         )
-        .withColumn("loss", F.least("loss", F.lit(loss_cap)).cast("int"))
     )
     schema = f"pack_id bigint, doc_id {dict(pieces.dtypes)['doc_id']}, piece int, first_token int, last_token int, tokens int, loss int, pack_tokens int, pack_segments int"
     cap = np.array([capacity, max_segments, loss_cap], "float64")
@@ -117,9 +124,9 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
 
     groups = max(1, math.ceil(whole.count() / group))
     spot = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int")
-    first = cut(pieces.groupBy(spot.alias("g")).applyInPandas(one(0), schema))
+    first = cut(pieces.withColumn("g", spot).repartition(groups, "g").groupBy("g").applyInPandas(one(0), schema))
     done = F.col("pack_tokens") >= int(full * capacity)
     loose = first.where(~done).select("doc_id", "piece", "first_token", "last_token", "tokens", "loss")
     again = max(1, math.ceil(loose.count() / group))
     spot2 = F.pmod(F.xxhash64("piece", "doc_id"), F.lit(again)).cast("int")
-    return first.where(done).unionByName(loose.groupBy(spot2.alias("g")).applyInPandas(one(1 << 60), schema))
+    return first.where(done).unionByName(loose.withColumn("g", spot2).repartition(again, "g").groupBy("g").applyInPandas(one(1 << 60), schema))

@@ -89,7 +89,7 @@ def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"))
+    return packing.packed(table(spark, sf_dir, "documents"), max_segments=32, max_loss=2000)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,5 +104,25 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p6_masked, p7_packs, p8_found, p9_found, p9_shared)}
-SQL: dict[str, str] = {}
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and request that looks like one with another stored text, with its class: linear in the rows, however many look the same."""
+    one = lambda name, key: lookalike.classes(table(spark, sf_dir, name), key).select(F.lit(name).alias("src_table"), "id", "look", "stored")
+    return one("documents", "doc_id").unionByName(one("deid_requests", "request_id"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_classes, p4_found, p5_found, p6_found, p6_masked, p7_packs, p8_found, p9_found, p9_shared)}
+_WINDOWS = """starts AS (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 400)),
+    windows AS (SELECT doc_id, i, substr(text, i, 400) AS w FROM starts), common AS (SELECT w FROM windows GROUP BY w HAVING min(doc_id) <> max(doc_id)),
+    hits AS (SELECT DISTINCT doc_id, i FROM windows SEMI JOIN common USING (w)),
+    marked AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM hits),
+    ranges AS (SELECT doc_id, CAST(min(i) - 1 AS INT) AS start_pos, CAST(max(i) + 399 AS INT) AS end_pos FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM marked) GROUP BY doc_id, island)"""
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+SQL: dict[str, str] = {
+    "p8_found": f"""WITH items AS (SELECT item_id, w, CAST(ceil(len(w) / 2.0) AS INT) AS need FROM (SELECT DISTINCT item_id, {_WORDS.format("text")} AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0),
+        runs AS (SELECT DISTINCT item_id, ' ' || array_to_string(w[i:i+need-1], ' ') || ' ' AS run FROM (SELECT *, unnest(range(1, len(w) - need + 2)) AS i FROM items)),
+        docs AS (SELECT DISTINCT doc_id, ' ' || array_to_string({_WORDS.format("text")}, ' ') || ' ' AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+        SELECT DISTINCT doc_id, item_id FROM docs JOIN runs ON contains(t, run)""",
+    "p9_found": f"WITH {_WINDOWS} SELECT doc_id, start_pos, end_pos FROM ranges",
+    "p9_shared": f"""WITH {_WINDOWS}, n AS (SELECT doc_id, CAST(max(length(text)) AS INT) AS n_chars FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id), s AS (SELECT doc_id, sum(end_pos - start_pos) AS shared FROM ranges GROUP BY doc_id)
+        SELECT doc_id, n_chars, CAST(coalesce(shared, 0) AS BIGINT) AS shared_chars, CAST(CASE WHEN n_chars > 0 THEN coalesce(shared, 0) / n_chars WHEN n_chars = 0 THEN 0 END AS DOUBLE) AS shared_share FROM n LEFT JOIN s USING (doc_id)""",
+}
