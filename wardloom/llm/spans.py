@@ -6,9 +6,9 @@ nodes of the text's Cartesian tree whose extent holds a whole window; each, with
 for all windows that share its signature. Two equal windows have their minimum at the same place, hence meet in one
 signature, so one hash function finds every exact span. Extents that are equal as a whole are settled by one
 aggregation; where a signature has several different extents, their windows are compared, again by aggregation: no pairs
-are made, and a passage that a third of all records share collapses before the shuffle. Texts count as equal if two
-independent hashes of 64 bits over all their signs are: among 10^13 windows any two that differ have the same with a
-chance of less than one in 10^12.
+are made, and a passage that a third of all records share collapses before the shuffle. Windows count as equal if they
+agree in two hashes of 64 bits: that of all their signs, and that of the token which is their minimum. Different ones that
+hold the same token, which only near-copies do, agree in the first with a chance of one in 2^64; all others must agree in both.
 """
 
 from __future__ import annotations
@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 
 from wardloom.session import cut, may_contain, spread
 
-#: Odd bases and offsets of two independent hashes.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-OFFSETS = (0x632BE59BD9B4E019, 0x165667B19E3779F9)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 U = np.uint64
 PLACE_BITS = 25
 
@@ -38,19 +37,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hashed:
     """Several texts in one array of code points, with hashes of any of its ranges."""
 
-    def __init__(self, texts: list[str], which: int = 0):
+    def __init__(self, texts: list[str]):
         raw = "".join(texts).encode("utf-32-le", "surrogatepass")
         code = np.frombuffer(raw, "uint32").astype("uint64")
-        n, base = len(code), BASES[which]
+        n = len(code)
         self.length = np.fromiter(map(len, texts), "int64", len(texts))
         self.begin = np.concatenate([[0], np.cumsum(self.length)[:-1]]) if len(texts) else np.zeros(0, "int64")
-        step = np.full(n + 1, base, "uint64")
+        step = np.full(n + 1, BASE, "uint64")
         step[0] = 1
         power = np.multiply.accumulate(step)
-        step[1:] = pow(base, -1, 1 << 64)
+        step[1:] = INVERSE
         self.back = np.multiply.accumulate(step)
         self.sum = np.zeros(n + 1, "uint64")
-        np.cumsum(mix(code + U(OFFSETS[which])) * power[:n], out=self.sum[1:])
+        np.cumsum(mix(code + U(0x632BE59BD9B4E019)) * power[:n], out=self.sum[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sum[end] - self.sum[start]) * self.back[start])
@@ -77,11 +76,11 @@ def sliding_argmin(order: np.ndarray, width: int) -> np.ndarray:
 
 
 def compact_windows(texts: list[str], span: int, gram: int) -> tuple[Hashed, dict[str, np.ndarray]]:
-    """Of each text: (text number, minimum, first and last start of the windows it is minimal in, signature, two hashes of the whole extent)."""
+    """Of each text: (text number, minimum, first and last start of the windows it is minimal in, signature, hash of the whole extent)."""
     h = Hashed(texts)
     width = span - gram + 1
     total = len(h.sum) - 1
-    names = ("k", "at", "lo", "hi", "sig", "ctx", "ctx2")
+    names = ("k", "at", "lo", "hi", "sig", "ctx")
     if total < span:
         return h, {c: np.zeros(0, "uint64" if c in names[4:] else "int64") for c in names}
     s = np.arange(total - gram + 1)
@@ -96,7 +95,7 @@ def compact_windows(texts: list[str], span: int, gram: int) -> tuple[Hashed, dic
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
     at, k, lo, hi = at[first], k[first], start[first], start[last]
-    return h, dict(zip(names, (k, at, lo, hi, token[at], h.of(lo, hi + span), Hashed(texts, 1).of(lo, hi + span))))
+    return h, dict(zip(names, (k, at, lo, hi, token[at], h.of(lo, hi + span))))
 
 
 def _chunks(x: pd.DataFrame, most: int = 4_000_000) -> Iterator[pd.DataFrame]:
@@ -122,37 +121,33 @@ def shared_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
             for x in _chunks(b):
                 h, w = compact_windows(x["t"].tolist(), span, gram)
                 base = h.begin[w["k"]]
-                yield pd.DataFrame({"d": x["d"].to_numpy()[w["k"]], "at": (w["at"] - base).astype("int32"), "lo": (w["lo"] - base).astype("int32"), "hi": (w["hi"] - base).astype("int32"), "sig": w["sig"].view("int64"), "ctx": w["ctx"].view("int64"), "ctx2": w["ctx2"].view("int64")})
+                yield pd.DataFrame({"d": x["d"].to_numpy()[w["k"]], "at": (w["at"] - base).astype("int32"), "lo": (w["lo"] - base).astype("int32"), "hi": (w["hi"] - base).astype("int32"), "sig": w["sig"].view("int64"), "ctx": w["ctx"].view("int64")})
 
-    made = cut(spread(src).mapInPandas(windows, f"d {kind}, at int, lo int, hi int, sig bigint, ctx bigint, ctx2 bigint"))
-    node, names = ["sig", "ctx", "ctx2", "left", "more"], ["tag", "ctx2"]  # a node goes by two hashes
-    compact = made.selectExpr("d", "at", "lo", "sig", "ctx", "ctx2", "at - lo AS left", "hi - lo AS more").withColumn("tag", F.xxhash64(*node))
+    made = cut(spread(src).mapInPandas(windows, f"d {kind}, at int, lo int, hi int, sig bigint, ctx bigint"))
+    node, names = ["sig", "ctx", "left", "more"], ["tag", "sig"]  # a node goes by two hashes
+    compact = made.selectExpr("d", "at", "lo", "sig", "ctx", "at - lo AS left", "hi - lo AS more").withColumn("tag", F.xxhash64(*node))
     extent = compact.groupBy(*node).agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.min_by("at", "d").alias("at0"))
     extent = cut(extent.withColumn("tag", F.xxhash64(*node)))
     several = extent.groupBy("sig").agg(F.min("d0").alias("a"), F.max("d1").alias("b"), F.count("*").alias("n")).where("a != b and n > 1").select("sig")
-    asked = extent.join(several, "sig", "left_semi").groupBy(F.col("d0").alias("d")).agg(F.collect_list(F.struct("tag", "ctx2", "sig", "left", "more", "at0")).alias("w"))  # a text's own windows
+    asked = extent.join(several, "sig", "left_semi").groupBy(F.col("d0").alias("d")).agg(F.collect_list(F.struct("tag", "sig", "left", "more", "at0")).alias("w"))  # a text's own windows
     asked = cut(asked)
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for x in _chunks(b):
-                texts = x["t"].tolist()
-                h, h2 = Hashed(texts), Hashed(texts, 1)
-                rows = [(k, r["tag"], r["ctx2"], r["sig"], r["left"], r["more"], r["at0"]) for k, w in enumerate(x["w"]) for r in w]
-                k, tag, ctx2, sig, left, more, at = (np.array(c, "int64") for c in zip(*rows))
+                h = Hashed(x["t"].tolist())
+                rows = [(k, r["tag"], r["sig"], r["left"], r["more"], r["at0"]) for k, w in enumerate(x["w"]) for r in w]
+                k, tag, sig, left, more, at = (np.array(c, "int64") for c in zip(*rows))
                 count = more + 1
                 j = np.repeat(np.arange(len(rows)), count)
                 start = (at - left + h.begin[k])[j] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                same = h.of(start, start + span) ^ mix(sig.view("uint64"))[j]
-                parts = np.cumsum(count)[:-1]
-                both = [[{"a": p, "b": q} for p, q in zip(a.tolist(), b.tolist())] for a, b in zip(np.split(same.view("int64"), parts), np.split(h2.of(start, start + span).view("int64"), parts))]
-                yield pd.DataFrame({"tag": tag, "ctx2": ctx2, "same": both})
-
-    unit = cut(may_contain(src, "d", asked, "d").join(asked, "d").mapInPandas(compared, "tag bigint, ctx2 bigint, same array<struct<a:bigint,b:bigint>>"))
-    each = unit.select(*names, F.posexplode("same").alias("o", "same")).select(*names, "o", "same.a", "same.b")
-    owner = F.struct(*names)
-    common = each.groupBy("a", "b").agg(F.min(owner).alias("first"), F.max(owner).alias("last")).where("first != last").select("a", "b")
-    part = each.join(common, ["a", "b"], "left_semi").groupBy(*names).agg(F.min("o").alias("o0"), F.max("o").alias("o1"))
+                same = h.of(start, start + span)
+                yield pd.DataFrame({"tag": tag, "sig": sig, "same": np.split(same.view("int64"), np.cumsum(count)[:-1])})
+
+    unit = cut(may_contain(src, "d", asked, "d").join(asked, "d").mapInPandas(compared, "tag bigint, sig bigint, same array<bigint>"))
+    each = unit.select(*names, F.posexplode("same").alias("o", "same"))
+    common = each.groupBy("sig", "same").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a != b").select("sig", "same")
+    part = each.join(common, ["sig", "same"], "left_semi").groupBy(*names).agg(F.min("o").alias("o0"), F.max("o").alias("o1"))
     known = extent.where("d0 != d1").select(*names, F.lit(0).alias("o0"), F.col("more").alias("o1")).unionByName(part).groupBy(*names).agg(F.min("o0").alias("o0"), F.max("o1").alias("o1"))
     known = cut(known)
     found = may_contain(compact, "tag", known, "tag").join(known, names).select("d", (F.col("lo") + F.col("o0")).alias("s"), (F.col("lo") + F.col("o1") + span).alias("e"))
