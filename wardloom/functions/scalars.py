@@ -93,4 +93,4 @@ def blank(text: Column) -> Column:
 
 def with_worked_out(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with columns that are worked out once for each row: they pass a generator, through which the optimiser moves no copies of them."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))  # outer, since else a filter would work them out too

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardloom.functions import scalars
 from wardloom.operators import candidates, concepts, spans, terms
 from wardloom.plans import cases, protect, understand
-from wardloom.session import table
+from wardloom.session import spread, table
 
 
 def _deid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detected_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = protect.detected(table(spark, sf_dir, "documents"), ["doc_id"])
+    found = protect.detected(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
     return found.groupBy("kind", "source").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
@@ -130,20 +130,20 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").where("text is not null")
+    t = spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"))
     return t.select("doc_id", F.inline(understand.sections_of(F.col("text"))))
 
 
 def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return understand.profile_scores(table(spark, sf_dir, "documents"))
+    return understand.profile_scores(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return understand.classified(table(spark, sf_dir, "documents"))
+    return understand.classified(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def document_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = understand.contexts(table(spark, sf_dir, "documents"))
+    made = understand.contexts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     one = lambda c: F.to_json(F.col(c)).alias(c)
     return made.select("doc_id", "language", one("classification"), one("route"), one("clinical"), one("sections"), one("privacy"), "file_size", "content_id")
 

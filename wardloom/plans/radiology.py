@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardloom.functions.scalars import bound, lookup
-from wardloom.operators.spans import located
+from wardloom.operators.spans import SPANS, located
 from wardloom.operators.terms import quoted
 
 #: Families of signals in their fixed order, those that give context, and those that score.
@@ -123,8 +123,17 @@ def own_signals(text: Column, sections: Column) -> Column:
     return F.concat(*[x for f in FAMILIES for x in found.get(f, ())])
 
 
+def may_hold(text: Column, words: Sequence[str]) -> Column:
+    """Whether the first part of any of the words stands in a text: a quick test that each match of ``word_pattern`` passes."""
+    low, out = F.lower(text), None
+    for part in dict.fromkeys(w.lower().split()[0] for w in words):
+        out = F.contains(low, F.lit(part)) if out is None else out | F.contains(low, F.lit(part))
+    return out
+
+
 def _located_signals(text: Column, family: str, concept: str, strength: float, words: str) -> Column:
-    return F.transform(located(text, word_pattern(words.split("|"))), lambda x: signal(F.lit(family), F.lit(concept), x["value"], x["start_pos"], x["end_pos"], F.lit(strength), text))
+    held = F.when(may_hold(text, words.split("|")), located(text, word_pattern(words.split("|")))).otherwise(F.array().cast(SPANS))
+    return F.transform(held, lambda x: signal(F.lit(family), F.lit(concept), x["value"], x["start_pos"], x["end_pos"], F.lit(strength), text))
 
 
 def with_imported(signals: Column, imported: Column, text: Column, strength: float = 0.75) -> Column:

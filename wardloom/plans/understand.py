@@ -127,7 +127,7 @@ def sections_of(text: Column, least: int = 3, front: int = 120) -> Column:
 
 
 def _has_phrase(text: Column, phrase: str) -> Column:
-    return text.rlike(radiology.word_pattern([phrase]))
+    return radiology.may_hold(text, [phrase]) & text.rlike(radiology.word_pattern([phrase]))
 
 
 def scores_of(text: Column, sections: Column, signals: Column) -> Column:
