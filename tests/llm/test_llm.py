@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import unicodedata
 
 import duckdb
@@ -305,6 +306,23 @@ def test_names_seen_a_few_times_stay_known_in_a_large_corpus(spark):
         assert got == {(0, 14, 30), (1, 14, 30), (2, 14, 30), (10, 8, 24), (None, 5, 13)}
 
 
+def test_scans_that_look_for_beginnings_find_every_match():
+    r = random.Random(6)
+    parts = ["Dr. ", "Mme ", "Ann", "X.", "MRN-12-345678", "+965 ", "(212) ", "555-1234", "12/03/2020", " ", "\n", ". ", "اسم المريض: ", "سالم", "a", "Éa", "-", "ABCDEFG1234", "٣٤٥", "Am Hof 3", " street", "12 Oak Lane, ", "Calle Mayor, 3", "Name: ", "İ", "🙂", "Bergstraße 5", "P.O. Box 77", "شارع سالم 5", "ص. ب 12"]
+    texts = ["".join(r.choices(parts, k=r.randint(1, 14))) for _ in range(4000)]
+    spots = lambda it: [m.span() for m in it]
+    for t, lines in zip(texts, personal.address_lines(texts, [t.lower() for t in texts])):
+        for first, whole in ((personal.CODE_START, personal.CODE), (personal.NUMBER_START, personal.NUMBER), (personal.STRONG_START, personal.STRONG)):
+            assert spots(personal.starts(first, whole, t)) == spots(whole.finditer(t))
+        assert spots(personal.address_matches(t, lines)) == [x for p in personal.ADDRESSES for x in spots(p.finditer(t))]
+        assert list(personal.first_words(t)) == re.findall(rf"(?:^|[.!?] |\n)\s*([{personal._UP}][{personal._LOW}]+)(?= [{personal._LOW}])", t)
+
+
+def test_lines_without_an_address_are_not_tried():
+    texts = ["ينصح بإعادة تصوير المثانة لمتابعة تصلب بقعي", "Die Temperatur im Bett betrug 84,9 °C", "a film of the knee\nLives at 12 Oak Lane, Denwick\nseen at noon"]
+    assert personal.address_lines(texts, [t.lower() for t in texts]) == [[], [], [(19, 48)]]
+
+
 def test_vote_model_trusts_agreeing_labelers():
     p = [((personal.PHONE, personal.PHONE), 90), ((personal.PHONE, -1), 40), ((-1, -1), 100), ((-1, personal.NONE), 60)]
     m = personal.vote_model(p, (personal.NONE, personal.PHONE))

@@ -18,6 +18,8 @@ from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,42 +73,120 @@ ADDRESS_SIGNS = [
 ]
 
 
-def address_matches(text: str, low: str) -> Iterator[re.Match]:
-    for r, (written, small, part) in zip(ADDRESSES, ADDRESS_SIGNS):
-        if (not written or any(x in text for x in written)) and (not small or any(x in low for x in small)) and (part is None or part.search(text)):
-            yield from r.finditer(text)
+#: By one automaton over texts in small letters: what some sign of every pattern of addresses can stand in; it lets through whatever ``ADDRESS_SIGNS`` do, unless no match follows.
+ADDRESS_LIKELY = "|".join([
+    r"box|postfach|apartado|apdo|b\.p\.|block|calle|c/|avda|avenida|plaza|paseo|camino|carretera|ronda|travesía|قطعة|شارع|ص\.? ?ب|صندوق", f" (?:{STREETS})", " (?:rue|avenue|boulevard|place|chemin|impasse|quai|allée|cours|route) ",
+    r"(?:straße|strasse|weg|gasse|platz|allee|ring|damm) \pN|(?:am|an der|im|zum|zur|auf dem|unter den) \S+ \pN",
+])
+
+
+def likely_address(lows: list[str]) -> list[bool]:
+    return pc.match_substring_regex(pa.array([x.encode("utf-8", "replace") for x in lows], "binary").cast("string"), ADDRESS_LIKELY).to_pylist()
+
+
+def address_lines(texts: list[str], lows: list[str]) -> list[list[tuple[int, int]]]:
+    """(start, end) of the lines of each of several texts, also given in small letters, that may hold an address. No address goes over a line's end."""
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    owners, places, lines = [], [], []
+    for i, (t, low, likely) in enumerate(zip(texts, lows, likely_address(lows))):
+        start = 0
+        for line, small in zip(t.split("\n"), low.split("\n")) if likely else ():
+            owners.append(i)
+            places.append((start, start + len(line)))
+            lines.append(small)
+            start += len(line) + 1
+    for i, x, likely in zip(owners, places, likely_address(lines)):
+        if likely:
+            out[i].append(x)
+    return out
+
+
+def starts(first: re.Pattern, whole: re.Pattern, text: str) -> Iterator[re.Match]:
+    """As ``whole.finditer``, tried only where ``first`` matches: it does wherever a match of ``whole`` begins, and begins with a plain set of signs, which is fast to look for."""
+    at = 0
+    while m := first.search(text, at):
+        at = m.start() + 1
+        if x := whole.match(text, m.start()):
+            yield x
+            at = max(at, x.end())
+
+
+CODE_START = re.compile(r"[A-Z][A-Z]{0,4}-?\d")
+NUMBER_START = re.compile(r"[+(\d][\d() .\-/‑–]{6}")
+
+
+def address_matches(text: str, lines: list[tuple[int, int]]) -> Iterator[re.Match]:
+    parts = [(a, b, x := text[a:b], x.lower()) for a, b in lines]
+    for r, (written, small, part) in zip(ADDRESSES, ADDRESS_SIGNS) if parts else ():
+        for a, b, x, low in parts:
+            if (not written or any(w in x for w in written)) and (not small or any(w in low for w in small)) and (part is None or part.search(x)):
+                yield from r.finditer(text, a, b)
 
 
 PARTICLE = r"(?:bin|ibn|bint|van der|van|von|de la|del|de|da|di|el|al)"
 PART = rf"(?:[{_UP}]\.(?!\w)|[{_UP}][{_LOW}]+(?:[-'’][{_UP}][{_LOW}]+)*|[{_UP}]{{2,}}(?:-[{_UP}]{{2,}})*)"
-NAMES = re.compile(rf"(?<![\w@.+-]){PART}(?:(?: (?:{PARTICLE}|{PARTICLE.upper()}))? {PART}){{0,4}}(?:, {PART}(?:(?: {PARTICLE})? {PART}){{0,2}})?")
-ARABIC_BEFORE = re.compile(rf"(?<![ء-ي])(?:{'|'.join(w for w in (TITLES + '|اسم المريض|اسم المريضة|طبيب الأشعة|الطبيب').split('|') if w[0] > 'ÿ')})[.:]?\s+(?:د\. ?)?(?=((?:[ء-ي]+ ){{0,4}}[ء-ي]+))")
+#: As PART after no sign of a word; the look behind stands after the first letter, so that the pattern begins with a plain set of signs.
+FIRST_PART = rf"[{_UP}](?<![\w@.+-].)(?:\.(?!\w)|[{_LOW}]+(?:[-'’][{_UP}][{_LOW}]+)*|[{_UP}]+(?:-[{_UP}]{{2,}})*)"
+NAMES = re.compile(rf"{FIRST_PART}(?:(?: (?:{PARTICLE}|{PARTICLE.upper()}))? {PART}){{0,4}}(?:, {PART}(?:(?: {PARTICLE})? {PART}){{0,2}})?")
+_ARABIC_TITLES = [w for w in (TITLES + "|اسم المريض|اسم المريضة|طبيب الأشعة|الطبيب").split("|") if w[0] > "ÿ"]
+_BY_LETTER = "|".join(f"{c}(?<![ء-ي].)(?:{'|'.join(w[1:] for w in _ARABIC_TITLES if w[0] == c)})" for c in dict.fromkeys(w[0] for w in _ARABIC_TITLES))
+ARABIC_BEFORE = re.compile(rf"(?:{_BY_LETTER})[.:]?\s+(?:د\. ?)?(?=((?:[ء-ي]+ ){{0,4}}[ء-ي]+))")
+ARABIC = re.compile("[ء-ي]")
 STRONG = re.compile(rf"(?:Patient Name|Name|Nombre|Nom du patient|Paciente|Patient|Reporting Physician|Consultant Pathologist)\s*[:=]\s*(?:\n\s*)?(?:Dr\.? )?({PART}(?:(?:,? (?:{PARTICLE}))?,? {PART}){{0,4}})|(?:\b(?:Dr|Mr|Mrs|Ms|Sra?|Prof|Dra)\.? |\b(?:Frau|Herr|Mme|Mlle) )({PART}(?:(?: {PARTICLE})? {PART}){{0,3}})|(?:اسم المريضة?|طبيب الأشعة):? (?:د\. )?([ء-ي]+(?: [ء-ي]+){{1,4}})(?=\n|$)")
+#: What every match of STRONG begins with.
+STRONG_START = re.compile("Patient|Name|Nom|Paciente|Reporting|Consultant|Dr|Mr|Ms|Sr|Prof|Frau|Herr|Mme|Mlle|اسم|طبيب")
 ARABIC_PARTICLES = {"بن", "بنت", "ابن", "أبو", "أم", "آل"}
-FIRST = re.compile(rf"(?:^|[.!?] |\n)\s*([{_UP}][{_LOW}]+)(?= [{_LOW}])")
+FIRST_WORD = re.compile(rf"[{_UP}][{_LOW}]+(?= [{_LOW}])")
 EDGES = ".,;:!?()[]{}<>\"'“”‘’«»،؛؟…-–—/|="
 WORD = re.compile(r"[^\W_][\w.'’=-]*")
 ODD = frozenset(c for c in character_table() if c != " " and not "؀" <= c <= "ݿ" and unicodedata.normalize("NFC", character_table()[c]) != c) | frozenset(map(chr, range(0x300, 0x370)))
 
 MARKS = "\u0300", "\u036f"
-ODD_SIGN = re.compile("[" + re.escape("".join(sorted(ODD))) + "]")
+def sign_of(signs: frozenset[str]) -> re.Pattern:
+    """One of many signs. Those beyond the first plane count as one range, since a set with them isn't looked up in a table."""
+    return re.compile("[" + re.escape("".join(sorted(c for c in signs if c <= "\uffff"))) + "\U00010000-\U0010ffff]")
+
+
+ODD_SIGN = sign_of(ODD)
 FOLDED = {ord(c): unicodedata.normalize("NFC", character_table()[c]) for c in ODD if c in character_table() and not ("\u0600" <= c <= "\u06ff")}
 #: Signs that don't fold to exactly one.
 RESIZING = frozenset(c for c in ODD if len(FOLDED.get(ord(c), c)) != 1 or MARKS[0] <= c <= MARKS[1])
+RESIZING_SIGN = sign_of(RESIZING)
+
+
+def _one(m: re.Match) -> str:
+    return FOLDED.get(ord(m.group()), m.group())
+
+
+def first_words(text: str) -> Iterator[str]:
+    """The capitalised first words of sentences and lines that go on in small letters."""
+    for m in FIRST_WORD.finditer(text):
+        i = m.start()
+        if i and not text[i - 1].isspace():
+            continue
+        before = text[max(0, i - 80) : i]
+        rest = before.rstrip()
+        if not rest and i > 80:
+            rest = (before := text[:i]).rstrip()
+        blank = before[len(rest) :]
+        if not rest or "\n" in blank or blank[0] == " " and rest[-1] in ".!?":
+            yield m.group()
 
 
 def fold(text: str) -> tuple[str, list[int] | None]:
     """The text with look-alikes, invisible signs and combining accents made plain, and the stored offset of each of its signs; none if nothing changed."""
-    if text.isascii() or ODD.isdisjoint(text):
+    if text.isascii() or not ODD_SIGN.search(text) or ODD.isdisjoint(text):
         return text, None
-    if RESIZING.isdisjoint(text):
-        return text.translate(FOLDED), None  # sign for sign, so that offsets stay
+    if not RESIZING_SIGN.search(text) or RESIZING.isdisjoint(text):
+        return ODD_SIGN.sub(_one, text), None  # sign for sign, so that offsets stay
     out: list[str] = []
     at: list[int] = []
     table = character_table()
     done = 0
     for m in ODD_SIGN.finditer(text):
         i, c = m.start(), m.group()
+        if c > "\uffff" and c not in ODD:
+            continue
         if i > done:
             out.append(text[done:i])
             at += range(done, i)
@@ -170,11 +250,11 @@ def learned_lists(texts: DataFrame, text: str = "text", share: float = 2e-6) ->
             for t in b["t"]:
                 t, _ = fold(t)
                 c.update(t.split())
-                c.update("\x02" + w.lower() for w in FIRST.findall(t))
+                c.update(["\x02" + w.lower() for w in first_words(t)])
                 if " dot " in t:
                     for m in EMAIL_WORDS.finditer(t):  # the name in an address is no use of a word
                         c[m.group().split()[0]] -= 1
-                for m in STRONG.finditer(t):
+                for m in starts(STRONG_START, STRONG, t):
                     for w in re.split(r"[\s,]+", next(g for g in m.groups() if g)):
                         if len(w.strip(".")) > 1 and w.lower() not in ("bin", "de", "al") and w.lower().rstrip(".") not in TITLE_SET | NAME_SET and w not in ARABIC_PARTICLES:
                             c["\x01" + w.casefold()] += 1
@@ -201,7 +281,11 @@ GROUPED = re.compile(r"\(\d{3}\) ?\d{3}-\d{4}|\d\d(?: \d\d){4}|\d{4}[. ]\d{4}|0\
 
 
 def words_before(text: str, start: int, n: int = 4) -> list[str]:
-    return [w.lower().rstrip(".:=") for w in WORD.findall(text[max(0, start - 40) : start])[-n:]]
+    before = text[max(0, start - 40) : start]
+    found = WORD.findall(" ".join(before.split()[-n:]))  # no word has a blank inside
+    if len(found) < n:
+        found = WORD.findall(before)
+    return [w.lower().rstrip(".:=") for w in found[-n:]]
 
 
 def number_votes(text: str, s: int, e: int) -> list[int]:
@@ -251,23 +335,26 @@ def forms(w: str) -> frozenset[str]:
     return frozenset(x for x in (a, b, w.casefold().rstrip("."), *a.split("-"), *b.split("-")) if len(x) > 1)
 
 
-def candidates(text: str, lists: Lists, asked: set[str]) -> list[tuple[int, int, int, list[int]]]:
-    """(start, end, type proposed, votes) of everything that may be personal; the words that the lists may be asked for are added to ``asked``."""
+def candidates(text: str, lists: Lists, asked: set[str], low: str | None = None, lines: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int, list[int]]]:
+    """(start, end, type proposed, votes) of everything that may be personal; the words that the lists may be asked for are added to ``asked``.
+
+    ``low`` is the text in small letters, ``lines`` are those that may hold an address, if these are known.
+    """
     out = []
     taken: list[tuple[int, int]] = []
-    low = text.lower()
+    low = text.lower() if low is None else low
     for r, sure, signs in ((EMAIL_AT, True, ("@", "at]", "at ]", "at)", "at )", "at}")), (EMAIL_WORDS, False, (" dot ",))):
         if any(x in low for x in signs):
             for m in r.finditer(text):
                 out.append((m.start(), m.end(), EMAIL, [EMAIL if sure else ABSTAIN, EMAIL if " dot " in m.group().lower() or "@" in m.group() else ABSTAIN, EMAIL if re.search(r"[\d._+]", m.group()) else ABSTAIN]))
                 taken.append((m.start(), m.end()))
-    for m in address_matches(text, low):
+    for m in address_matches(text, [(0, len(text))] if lines is None else lines):
         before = words_before(text, m.start(), 3)
         out.append((m.start(), m.end(), ADDRESS, [ADDRESS if any(c.isdigit() for c in m.group()) else NONE, ADDRESS if set(before) & HOME_SET else ABSTAIN, ADDRESS if "," in m.group() or "،" in m.group() else ABSTAIN, NONE if before and before[-1] in OTHER_SET else ABSTAIN]))
         taken.append((m.start(), m.end()))
     free = lambda s, e: all(e <= a or s >= b for a, b in taken)
-    for r in (CODE, NUMBER):
-        for m in r.finditer(text):
+    for first, r in ((CODE_START, CODE), (NUMBER_START, NUMBER)):
+        for m in starts(first, r, text):
             if free(m.start(), m.end()) and not DATE.fullmatch(m.group()):
                 out.append((m.start(), m.end(), ID if r is CODE else PHONE, number_votes(text, m.start(), m.end())))
                 if r is CODE:
@@ -280,7 +367,7 @@ def candidates(text: str, lists: Lists, asked: set[str]) -> list[tuple[int, int,
         for s, e in name_spans(text, m.start(), m.end(), lists):
             if free(s, e):
                 out.append((s, e, NAME, name_votes(text, s, e, lists)))
-    if not text.isascii():
+    if not text.isascii() and ARABIC.search(text):
         for m in ARABIC_BEFORE.finditer(text):
             asked.update(m.group(1).split())
             s, e = arabic_name(text, m.start(1), m.end(1), lists)
@@ -359,13 +446,19 @@ def arabic_name(text: str, s: int, e: int, lists: Lists) -> tuple[int, int]:
 FEATURES = 1 << 13
 
 
+@lru_cache(1 << 14)
+def vote_features(kind: int, votes: tuple[int, ...]) -> list[int]:
+    return [zlib.crc32(x.encode()) % FEATURES for x in (f"k{kind}", *(f"v{kind}{i}{x}" for i, x in enumerate(votes)))]
+
+
 def features(text: str, s: int, e: int, kind: int, votes: list[int]) -> list[int]:
     """Hashed features of a candidate: its votes, shape and the words around it."""
     v = text[s:e]
     shape = re.sub(r"(.)\1+", r"\1+", re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", v)))[:24]
     before, after = words_before(text, s, 2), [w.lower() for w in WORD.findall(text[e : e + 24])[:1]]
-    names = [f"k{kind}", f"s{kind}{shape}", *(f"v{kind}{i}{x}" for i, x in enumerate(votes)), *(f"b{kind}{w}" for w in before[-1:]), *(f"B{kind}{w}" for w in before), *(f"a{kind}{w}" for w in after), f"l{kind}{min(len(v) // 4, 12)}", f"p{kind}{text[max(0, s - 1) : s]!r}"]
-    return [zlib.crc32(x.encode()) % FEATURES for x in names]
+    names = [f"s{kind}{shape}", *(f"b{kind}{w}" for w in before[-1:]), *(f"B{kind}{w}" for w in before), *(f"a{kind}{w}" for w in after), f"l{kind}{min(len(v) // 4, 12)}", f"p{kind}{text[max(0, s - 1) : s]!r}"]
+    known = vote_features(kind, tuple(votes))
+    return [known[0], zlib.crc32(names[0].encode()) % FEATURES, *known[1:], *(zlib.crc32(x.encode()) % FEATURES for x in names[1:])]
 
 
 def vote_model(patterns: list[tuple[tuple[int, ...], int]], allowed: tuple[int, ...], rounds: int = 30) -> dict[tuple[int, ...], np.ndarray]:
@@ -431,10 +524,16 @@ class SpanClassifier:
             square += (step * step).mean(1, keepdims=True)
             self.w -= (rate * step / np.sqrt(square)).astype("float32")
 
-    def probabilities(self, rows: list[list[int]]) -> np.ndarray:
-        y = np.array([self.w[r].sum(0) for r in rows]).reshape(len(rows), len(TYPES))
-        p = np.exp(y - y.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
+    def probabilities(self, rows: pa.ListArray, most: int = 50_000) -> np.ndarray:
+        """Class probabilities of candidates, each with its features; no more than ``most`` at a time."""
+        out = [np.zeros((0, len(TYPES)), "float32")]
+        for i in range(0, len(rows), most):
+            part = rows.slice(i, most)
+            at = part.flatten().to_numpy()
+            y = np.add.reduceat(self.w[at], np.r_[0, np.cumsum(part.value_lengths().to_numpy())[:-1]])
+            p = np.exp(y - y.max(1, keepdims=True))
+            out.append(p / p.sum(1, keepdims=True))
+        return np.concatenate(out)
 
 
 SPAN = "struct<s:int,e:int,kind:int,votes:array<int>,features:array<int>>"
@@ -450,25 +549,34 @@ def proposed(df: DataFrame, keys: list[str], text: str, lists: Lists, at: str |
     src = df.select(*keys, F.col(text).alias("_text"), has.alias("_at"), *further).where(F.col("_text").isNotNull())
     kinds = dict(src.dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for *k, t, m, names, common in b.itertuples(index=False, name=None):
-                plain, where = fold(t)
-                spans: list[dict] = []
+            folds = [fold(t) for t in b.column("_text").to_pylist()]
+            texts = [t for t, _ in folds]
+            lows = [t.lower() for t in texts]
+            each = zip(folds, lows, address_lines(texts, lows), b.column("_at"), *([b.column(c).to_pylist() for c in ("_names", "_common")] if more else ()))
+            kept, flat, sizes, absent = [], [], [], []
+            for i, ((plain, where), low, lines, stored, *further) in enumerate(each):
+                m = stored.values.to_numpy(zero_copy_only=False) if stored.is_valid else None
                 asked: set[str] = set()
-                own = Lists(Both(lists.names, set(names)), Both(lists.common, set(common))) if more else lists
-                for s, e, kind, votes in candidates(plain, own, asked):
+                own = Lists(*[Both(x, set(y)) for x, y in zip((lists.names, lists.common), further)]) if more else lists
+                spans = candidates(plain, own, asked, low, lines)
+                missing = [] if more else lists.missing(asked)
+                if spans or missing:
+                    kept.append(i)
+                    sizes.append(len(spans))
+                    absent.append(missing)
+                for s, e, kind, votes in spans:
                     a, z = (s, e) if where is None else (where[s], where[e - 1] + 1)
                     if m is not None:
                         a, z = int(m[a]), int(m[z])
-                    spans.append({"s": a, "e": z, "kind": kind, "votes": votes, "features": features(plain, s, e, kind, votes)})
-                missing = [] if more else lists.missing(asked)
-                if spans or missing:
-                    rows.append((*k, spans, missing))
-            yield pd.DataFrame(rows, columns=[*keys, "spans", "asked"])
+                    flat.append((a, z, kind, votes, features(plain, s, e, kind, votes)))
+            columns = list(zip(*flat)) or [()] * 5
+            spans = pa.StructArray.from_arrays([*(pa.array(c, "int32") for c in columns[:3]), *(pa.array(c, pa.list_(pa.int32())) for c in columns[3:])], ["s", "e", "kind", "votes", "features"])
+            of_text = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), "int32"), spans)
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(kept, "int64")) for k in keys), of_text, pa.array(absent, pa.list_(pa.string()))], names=[*keys, "spans", "asked"])
 
-    return (src if more else spread(src)).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", spans array<{SPAN}>, asked array<string>")
+    return (src if more else spread(src)).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", spans array<{SPAN}>, asked array<string>")
 
 
 def all_proposed(df: DataFrame, keys: list[str], text: str, at: str | None = None) -> DataFrame:
@@ -513,22 +621,26 @@ def personal_spans(df: DataFrame, keys: list[str], text: str = "text", at: str |
     net = SpanClassifier([list(r.features) for r in chosen], np.array([meaning[(r.kind, tuple(r.votes))] for r in chosen]))
     kinds = dict(found.dtypes)
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = [x for xs in b["spans"] for x in xs]
-            p = net.probabilities([list(x["features"]) for x in flat])
-            rows, i = [], 0
-            for *k, xs in b[[*keys, "spans"]].itertuples(index=False, name=None):
-                mine = sorted(((float(p[i + j].max()), x["e"] - x["s"], -x["s"], int(p[i + j].argmax()), x) for j, x in enumerate(xs)), key=lambda y: y[:4], reverse=True)
-                i += len(xs)
-                taken: list[tuple[int, int]] = []
-                for sure, _, _, t, x in mine:
-                    if t != NONE and sure >= least and all(x["e"] <= a or x["s"] >= z for a, z in taken):
-                        taken.append((x["s"], x["e"]))
-                        rows.append((*k, x["s"], x["e"], TYPES[t]))
-            yield pd.DataFrame(rows, columns=[*keys, "start_pos", "end_pos", "pii_type"])
-
-    out = found.mapInPandas(decide, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", start_pos int, end_pos int, pii_type string")
+            column = b.column("spans")
+            flat = column.flatten()
+            start, end = (flat.field(c).to_numpy() for c in ("s", "e"))
+            owner = np.repeat(np.arange(b.num_rows), column.value_lengths().to_numpy())
+            p = net.probabilities(flat.field("features"))
+            kind, sure = p.argmax(1), p.max(1)
+            use = np.flatnonzero((kind != NONE) & (sure >= least))
+            order = use[np.lexsort((-kind[use], start[use], (start - end)[use], -sure[use], owner[use]))]  # the surest first, then the longest
+            rows, last, taken = [], -1, []
+            for i, k, s, e in zip(order.tolist(), owner[order].tolist(), start[order].tolist(), end[order].tolist()):
+                if k != last:
+                    last, taken = k, []
+                if all(e <= a or s >= z for a, z in taken):
+                    taken.append((s, e))
+                    rows.append(i)
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(owner[rows])) for k in keys), pa.array(start[rows]), pa.array(end[rows]), pa.array([TYPES[t] for t in kind[rows]], "string")], names=[*keys, "start_pos", "end_pos", "pii_type"])
+
+    out = found.mapInArrow(decide, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", start_pos int, end_pos int, pii_type string")
     return out.distinct()  # whole texts aren't shuffled to find repeated rows; their spans are
 
 
