@@ -270,6 +270,19 @@ def test_languages_of_held_out_documents(spark, sf_dir):
     assert languages.document_languages(empty, net).count() == 0
 
 
+def test_reduced_texts_and_beginnings_are_those_of_the_plain_rules():
+    r = random.Random(9)
+    parts = ["84,9", "12/03/2020", "٣٫٥", " ", "  ", "\t", "\n", ",", ":", "：", " : ", ". ", ".", "the Knee", "l’été", "İ", "ß", "(", "…", "患者", "🙂", "𝟓", "a:b", "١٢", "-", "\u200c"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 16))) for _ in range(4000)]
+    end = re.compile(r"[\n!?؟。！？।…]+|\.(?=\s|$)")
+    for t in texts:
+        plain = languages.SIGNS.sub(" ", t)
+        assert languages.reduced(t) == plain
+        assert languages.sentences_of(t) == [k for s in end.split(plain.lower()) if (k := s.strip(" .'’-"))]
+        words = t.split()
+        assert list(sentences.beginnings(words)) == [sentences.with_colon(" ".join(words[:n])) for n in range(1, min(7, len(words)))]
+
+
 def test_label_codes(spark):
     df = spark.createDataFrame([("English",), ("FR",), ("UNKNOWN",), ("",), (None,), ("Mixed",)], "l string")
     assert [r[0] for r in df.select(languages.code(F.col("l"))).collect()] == ["en", "fr", None, None, None, "mixed"]

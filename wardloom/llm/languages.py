@@ -24,7 +24,17 @@ MIXED = "mixed"
 STRETCH = 96
 #: What becomes a blank: numbers and any signs but letters, apostrophes, hyphens and what ends a sentence.
 SIGNS = regex.compile(r"(?:\p{Nd}+(?:[.,:/٫٬]\p{Nd}+)*|[^\p{L}\p{M}\p{Nd}'’\u200c\-\n.!?؟。！？।…])+")
-END = re.compile(r"[\n!?؟。！？।…]+|\.(?=\s|$)")
+END = re.compile(r"[\n!?؟。！？।….](?:(?<!\.)|(?=\s|$))")
+NUMBER = re.compile(r"\d\d*(?:[.,:/٫٬]\d+)*")
+BLANKS = re.compile("   *")
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
+#: As SIGNS without numbers and blanks, for texts of the first plane: there a set is looked up in a table.
+PLAIN_SIGNS = re.compile("[" + re.escape("".join(regex.findall(r"[^\p{L}\p{M}\p{Nd}'’\u200c\-\n.!?؟。！？।…]", "".join(chr(c) for c in range(0x10000) if c != 0x20 and not 0xD800 <= c <= 0xDFFF)))) + "]+")
+
+
+def reduced(text: str) -> str:
+    """The text with numbers and signs as one blank."""
+    return SIGNS.sub(" ", text) if BEYOND.search(text) else BLANKS.sub(" ", PLAIN_SIGNS.sub(" ", NUMBER.sub(" ", text)))
 
 
 def sentences_of(text: str) -> list[str]:
@@ -32,7 +42,7 @@ def sentences_of(text: str) -> list[str]:
 
     For pooling only: exact units come from ``wardloom.llm.sentences``.
     """
-    return [k for s in END.split(SIGNS.sub(" ", text).lower()) if (k := s.strip(" .'’-"))]
+    return [k for s in END.split(reduced(text).lower()) if (k := s.strip(" .'’-"))]
 
 
 class ByteGru:
@@ -113,22 +123,31 @@ class ByteGru:
         d = e / e.sum(-1, keepdims=True)
         d[:, np.arange(len(label)), label] -= 1
         d *= (x > 0)[..., None] / max(1, (x > 0).sum())
-        out = {"o": np.einsum("tbi,tbk->ik", s, d), "c": d.sum((0, 1))}
+        out = {"o": s.reshape(-1, s.shape[-1]).T @ d.reshape(-1, d.shape[-1]), "c": d.sum((0, 1))}
         ds, n = d @ self.p["o"].T, self.hidden
         for name, kept, part in (("f", kf, ds[..., :n]), ("b", kb, ds[..., n:])):
-            u, gu, gx = self.p["u" + name], np.zeros_like(self.p["u" + name]), np.zeros_like(self.p["x" + name])
+            u, gx = self.p["u" + name], np.zeros_like(self.p["x" + name])
+            at = np.array([k[0] for k in kept])
+            h, z, r, c, gc = (np.stack([k[i] for k in kept]) for i in range(1, 6))
+            live = (x[at] > 0).astype("float32")[..., None]
+            # what the gradient of a state is multiplied by, for all positions at once
+            to_z, to_pre, to_r, stays = live * (h - c) * z * (1 - z), live * (1 - z) * (1 - c * c), gc * r * (1 - r), 1 - live * (1 - z)
+            da, dg, ut = np.empty((*z.shape[:2], 3 * n), "float32"), np.empty((*z.shape[:2], 3 * n), "float32"), np.ascontiguousarray(u.T)
             back = np.zeros((x.shape[1], n), "float32")
-            for t, h, z, r, c, gc in reversed(kept):
-                dh = back + part[t]
-                live = (x[t] > 0).astype("float32")[:, None]
-                dz, dc = dh * live * (h - c), dh * live * (1 - z)
-                dpre = dc * (1 - c * c)
-                da = np.concatenate([dz * z * (1 - z), dpre * gc * r * (1 - r), dpre], 1)
-                dg = np.concatenate([da[:, : 2 * n], dpre * r], 1)
-                gu += h.T @ dg
-                np.add.at(gx, x[t], da)
-                back = dh * (1 - live * (1 - z)) + dg @ u.T
-            out["u" + name], out["x" + name] = gu, gx
+            for k in range(len(kept) - 1, -1, -1):
+                dh = back + part[at[k]]
+                np.multiply(dh, to_z[k], out=dg[k, :, :n])
+                dpre = dh * to_pre[k]
+                np.multiply(dpre, to_r[k], out=dg[k, :, n : 2 * n])
+                np.multiply(dpre, r[k], out=dg[k, :, 2 * n :])
+                da[k, :, 2 * n :] = dpre
+                back = dh * stays[k] + dg[k] @ ut
+            da[..., : 2 * n] = dg[..., : 2 * n]
+            owner = x[at].ravel()
+            order = np.argsort(owner, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(owner[order]) != 0])
+            gx[owner[order[first]]] = np.add.reduceat(da.reshape(-1, 3 * n)[order], first)
+            out["u" + name], out["x" + name] = h.reshape(-1, n).T @ dg.reshape(-1, 3 * n), gx
         return out
 
     def train(self, texts: list[bytes], labels: np.ndarray, steps: int = 260, batch: int = 128, rate: float = 0.012, seed: int = 9) -> None:
@@ -160,23 +179,28 @@ class Labeler:
 
     def __init__(self, net: ByteGru):
         self.net = net
-        self.seen: dict[str, np.ndarray] = {}
+        self.seen: dict[str, int] = {}
+        self.known = np.zeros((0, len(LANGUAGES)), "float32")
 
     def evidence(self, keys: list[str]) -> np.ndarray:
         """Sum over the positions of each sentence of the log probability of each language."""
         new = list(dict.fromkeys(k for k in keys if k not in self.seen))
         if len(self.seen) + len(new) > 400_000:
             self.seen.clear()
+            self.known = self.known[:0]
             new = list(dict.fromkeys(keys))
-        stretches = [(k, b[i : i + STRETCH]) for k in new for b in (k.encode("utf-8", "replace"),) for i in range(0, max(1, len(b)), STRETCH)]
+        first = len(self.known)
+        self.seen.update(zip(new, range(first, first + len(new))))
+        stretches = [(j, b[i : i + STRETCH]) for j, k in enumerate(new) for b in (k.encode("utf-8", "replace"),) for i in range(0, max(1, len(b)), STRETCH)]
         stretches.sort(key=lambda x: len(x[1]))
+        found = np.zeros((len(new), len(LANGUAGES)), "float32")
         for i in range(0, len(stretches), 512):
             part = stretches[i : i + 512]
             x = packed_bytes([b for _, b in part])
-            total = (np.log(self.net.probabilities(x) + np.float32(1e-4)) * (x > 0)[..., None]).sum(0)
-            for (k, _), e in zip(part, total):
-                self.seen[k] = self.seen[k] + e if k in self.seen else e
-        return np.array([self.seen[k] for k in keys]).reshape(len(keys), len(LANGUAGES))
+            np.add.at(found, [j for j, _ in part], (np.log(self.net.probabilities(x) + np.float32(1e-4)) * (x > 0)[..., None]).sum(0))
+        if new:
+            self.known = np.concatenate([self.known, found])
+        return self.known[np.fromiter(map(self.seen.__getitem__, keys), "int64", len(keys))]
 
 
 _KEPT: dict[int, Labeler] = {}

@@ -39,6 +39,7 @@ FUNCTION_WORDS = {
 }
 LATIN = {*FUNCTION_WORDS, "Latin"}
 LANGUAGE_OF = {w: [k for k, v in FUNCTION_WORDS.items() if w in v.split()] for w in " ".join(FUNCTION_WORDS.values()).split()}
+NUMBERS = regex.compile(r"\d+")
 VOWEL = regex.compile(r"[^\p{Latin}]|[aeiouyäöüáéíóúàèùâêîôûœ]")
 OTHER_LETTERS = re.compile("[\u0370-\uffff]")
 SCRIPTS = {
@@ -53,19 +54,22 @@ def script(c: str) -> str:
     return next((n for n, r in SCRIPT_OF if r.match(c)), "")
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=1 << 16)
 def statistics_language(line: str) -> str:
     """The script of a line, or for Latin letters the language whose function words it has most of."""
-    votes: Counter = Counter()
+    votes: dict[str, int] = {}
     if not line.isascii() and (signs := OTHER_LETTERS.findall(line)):
         for c, n in Counter(signs).items():
-            votes[script(c)] += n
-        del votes[""]
-        best = votes.most_common(1)
-        if best and best[0][1] * 3 > len(line):
-            return "Hiragana" if votes["Hiragana"] else best[0][0]
-    votes = Counter(k for w in line.lower().split() for k in LANGUAGE_OF.get(w, ()))
-    return votes.most_common(1)[0][0] if votes else "Latin"
+            if g := script(c):
+                votes[g] = votes.get(g, 0) + n
+        best = max(votes, key=votes.get, default="")
+        if best and votes[best] * 3 > len(line):
+            return "Hiragana" if "Hiragana" in votes else best
+    votes = {}
+    for w in line.lower().split():
+        for k in LANGUAGE_OF.get(w, ()):
+            votes[k] = votes.get(k, 0) + 1
+    return max(votes, key=votes.get) if votes else "Latin"
 
 
 def lines_of(text: str) -> list[tuple[int, str]]:
@@ -87,22 +91,34 @@ def folded(line: str) -> str:
 
 @lru_cache(maxsize=200_000)
 def kind(token: str) -> str:
-    body = regex.split(r"['’]", token.rstrip(".").casefold())[-1]
+    body = token.rstrip(".").casefold().replace("’", "'").rpartition("'")[2]
     return "0" if body[:1].isdigit() and not any(c.isalpha() for c in body) else body
 
 
 def opening(line: str) -> str:
     """How a line begins: its first two words, or its first signs where words aren't parted."""
     words = line.split()[:2]
-    return regex.sub(r"\d+", "0", " ".join(w[:8] if len(w) > 14 else w for w in words).casefold())
+    return NUMBERS.sub("0", " ".join(w[:8] if len(w) > 14 else w for w in words).casefold())
 
 
 def with_colon(line: str) -> str:
     return folded(line) + ":" if line.rstrip().endswith((":", "：")) else folded(line)
 
 
-def count_text(text: str, counts: Counter) -> None:
-    """Adds every event that the statistics count, as (language, what, a, b)."""
+def beginnings(words: list[str], most: int = 6) -> Iterator[str]:
+    """The first words of a line as ``with_colon`` has them: the first, the first two, and so on, but never all."""
+    done = ""
+    for n in range(1, min(most + 1, len(words))):
+        w = words[n - 1].casefold()
+        if bare := w.rstrip(":："):
+            yield done + (bare if bare == w else bare + ":")
+        else:
+            yield with_colon(" ".join(words[:n]))
+        done += w + " "
+
+
+def count_text(text: str, counts: Counter, words_used: dict[str, Counter]) -> None:
+    """Adds every event that the statistics count, as (language, what, a, b); the words themselves by language to ``words_used``."""
     before = ""
     for _, line in lines_of(text):
         last, before = before, line
@@ -117,13 +133,13 @@ def count_text(text: str, counts: Counter) -> None:
         if not ended and len(words) <= 7 and not item:
             counts[lang, "alone", folded(line), ""] += 1
         if ended or len(words) > 7:
-            for n in range(1, min(7, len(words))):
-                counts[lang, "begins", with_colon(" ".join(words[:n])), ""] += 1
+            for x in beginnings(words):
+                counts[lang, "begins", x, ""] += 1
         if m := LABEL.match(line):
             counts[lang, "label final" if ended else "label open", folded(m.group(1)), ""] += 1
         tokens = list(TOKEN.finditer(line))
         kinds = [kind(m.group()) for m in tokens]
-        counts.update([(lang, "token", w, "") for w in kinds])
+        words_used.setdefault(lang, Counter()).update(kinds)
         for i, m in enumerate(tokens):
             end = m.end()
             if line[end - 1] != "." or line[end : end + 1] == ".":
@@ -227,9 +243,11 @@ def learned(texts: DataFrame, text: str = "text", share: float = 5e-6) -> Statis
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             c: Counter = Counter()
+            used: dict[str, Counter] = {}
             for t in b["t"]:
-                count_text(t, c)
-            yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["lang", "what", "a", "b", "n"])
+                count_text(t, c, used)
+            rows = [(*k, n) for k, n in c.items()] + [(lang, "token", w, "", n) for lang, words in used.items() for w, n in words.items()]
+            yield pd.DataFrame(rows, columns=["lang", "what", "a", "b", "n"])
 
     src = spread(texts.select(F.col(text).alias("t")).where("t is not null and t != ''"))
     c = src.mapInPandas(run, "lang string, what string, a string, b string, n bigint").groupBy("lang", "what", "a", "b").agg(F.sum("n").alias("n"))
@@ -421,11 +439,11 @@ def split_block(text: str, start: int, end: int, lang: str, s: Statistics) -> It
                     nt = TOKEN.search(text, i, end)
                     x = kind(nt.group()) if nt else ""
                     initial = len(w) == 1 and w.isalpha()
-                    here = statistics_language(text[text.rfind("\n", start, m.start()) + 1 : m.end() + 40])
-                    if w in known(lang) or w in known(here) or initial and cased:
+                    here = lambda: statistics_language(text[text.rfind("\n", start, m.start()) + 1 : m.end() + 40])  # noqa: E731, B023
+                    if initial and cased or w in known(lang) or w in s.all_abbreviations and w in known(here()):
                         if not (cased and x in starters and (w, x) not in collocations):
                             continue
-                    elif x == "0" and len(w) <= 4 and w.isalpha() and lang in LATIN and any((w, x) in s.collocations.get(g, ()) for g in (lang, here)):
+                    elif x == "0" and len(w) <= 4 and w.isalpha() and lang in LATIN and any((w, x) in s.collocations.get(g, ()) for g in (lang, here())):
                         continue
         elif not gap and not closed and mark in "!?" and nxt.isalnum() and not UNSPACED.match(nxt):
             continue
