@@ -56,47 +56,50 @@ class ByteGru:
         self.p = {"xf": w(256, 3 * hidden), "uf": u(), "xb": w(256, 3 * hidden), "ub": u(), "o": w(2 * hidden, classes), "c": np.zeros(classes, "float32")}
 
     def run(self, x: np.ndarray, back: bool) -> tuple[np.ndarray, list]:
-        """States after each byte; x is (positions, texts), 0 where a text is over."""
-        h3, u, n = self.p["xb" if back else "xf"][x], self.p["ub" if back else "uf"], self.hidden
+        """States after each byte as (positions, units, texts); x is (positions, texts), 0 where a text is over."""
+        w, u, n = self.p["xb" if back else "xf"].T.copy(), self.p["ub" if back else "uf"].T.copy(), self.hidden
         steps, batch = x.shape
-        h, out, kept = np.zeros((batch, n), "float32"), np.empty((steps, batch, n), "float32"), []
-        live = (x > 0).astype("float32")[..., None]
+        h, out, kept = np.zeros((n, batch), "float32"), np.empty((steps, n, batch), "float32"), []
+        live = (x > 0).astype("float32")[:, None]
         for t in range(steps - 1, -1, -1) if back else range(steps):
-            a, g = h3[t], h @ u
-            zr = 1 / (1 + np.exp(-(a[:, : 2 * n] + g[:, : 2 * n])))
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
+            a, g = np.take(w, x[t], axis=1, mode="clip"), u @ h
+            zr = 1 / (1 + np.exp(-(a[: 2 * n] + g[: 2 * n])))
+            z, r = zr[:n], zr[n:]
+            c = np.tanh(a[2 * n :] + r * g[2 * n :])
             new = h + live[t] * (1 - z) * (c - h)
-            kept.append((t, h, z, r, c, g[:, 2 * n :]))
+            kept.append((t, h, z, r, c, g[2 * n :]))
             h = out[t] = new
         return out, kept
 
     def logits(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """(positions, languages, texts)"""
         f, kf = self.run(x, False)
         b, kb = self.run(x, True)
-        s = np.concatenate([f, b], -1)
-        return s @ self.p["o"] + self.p["c"], (s, kf, kb)
+        s = np.concatenate([f, b], 1)
+        return self.p["o"].T @ s + self.p["c"][:, None], (s, kf, kb)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """As the softmax of ``logits``, with nothing kept for a gradient: sigmoids and tangents by one exponential each, in place."""
         n, (steps, batch) = self.hidden, x.shape
-        states, live = np.empty((steps, batch, 2 * n), "float32"), (x > 0).astype("float32")[..., None]
+        # units by texts, so that every operation goes over whole rows of texts
+        states, live = np.empty((steps, 2 * n, batch), "float32"), (x > 0).astype("float32")[:, None]
         whole = bool(live.all())
-        g, zr, c = np.empty((batch, 3 * n), "float32"), np.empty((batch, 2 * n), "float32"), np.empty((batch, n), "float32")
+        a = np.empty((3 * n, batch), self.p["xf"].dtype)
+        g, zr, c = (np.empty((k * n, batch), "float32") for k in (3, 2, 1))
         with np.errstate(over="ignore"):
-            for d, part in (("f", states[:, :, :n]), ("b", states[:, :, n:])):
-                w, u, h = self.p["x" + d].copy(), self.p["u" + d].copy(), np.zeros((batch, n), "float32")
-                w[:, : 2 * n] *= -1
-                u[:, : 2 * n] *= -1
+            for d, part in (("f", states[:, :n]), ("b", states[:, n:])):
+                w, u, h = self.p["x" + d].T.copy(), self.p["u" + d].T.copy(), np.zeros((n, batch), "float32")
+                w[: 2 * n] *= -1
+                u[: 2 * n] *= -1
                 for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                    np.matmul(h, u, out=g)
-                    a = w[x[t]]
-                    np.add(a[:, : 2 * n], g[:, : 2 * n], out=zr)
+                    np.matmul(u, h, out=g)
+                    np.take(w, x[t], axis=1, out=a, mode="clip")
+                    np.add(a[: 2 * n], g[: 2 * n], out=zr)
                     np.exp(zr, out=zr)
                     zr += 1
                     np.reciprocal(zr, out=zr)
-                    np.multiply(zr[:, n:], g[:, 2 * n :], out=c)
-                    c += a[:, 2 * n :]
+                    np.multiply(zr[n:], g[2 * n :], out=c)
+                    c += a[2 * n :]
                     c *= 2
                     np.exp(c, out=c)
                     c += 1
@@ -104,50 +107,51 @@ class ByteGru:
                     c *= -2
                     c += 1
                     c -= h
-                    np.subtract(1, zr[:, :n], out=zr[:, :n])
-                    c *= zr[:, :n]
+                    np.subtract(1, zr[:n], out=zr[:n])
+                    c *= zr[:n]
                     if not whole:
                         c *= live[t]
                     h += c
                     part[t] = h
-        y = states.reshape(-1, 2 * n) @ self.p["o"]
-        y += self.p["c"]
-        y -= y.max(-1, keepdims=True)
+        y = np.matmul(self.p["o"].T, states)
+        y += self.p["c"][:, None]
+        y -= y.max(1, keepdims=True)
         np.exp(y, out=y)
-        y /= y.sum(-1, keepdims=True)
-        return y.reshape(steps, batch, -1)
+        y /= y.sum(1, keepdims=True)
+        return y.transpose(0, 2, 1)
 
     def gradient(self, x: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
         y, (s, kf, kb) = self.logits(x)
-        e = np.exp(y - y.max(-1, keepdims=True))
-        d = e / e.sum(-1, keepdims=True)
-        d[:, np.arange(len(label)), label] -= 1
-        d *= (x > 0)[..., None] / max(1, (x > 0).sum())
-        out = {"o": s.reshape(-1, s.shape[-1]).T @ d.reshape(-1, d.shape[-1]), "c": d.sum((0, 1))}
-        ds, n = d @ self.p["o"].T, self.hidden
-        for name, kept, part in (("f", kf, ds[..., :n]), ("b", kb, ds[..., n:])):
+        e = np.exp(y - y.max(1, keepdims=True))
+        d = e / e.sum(1, keepdims=True)
+        d[:, label, np.arange(len(label))] -= 1
+        d *= ((x > 0) / max(1, (x > 0).sum())).astype("float32")[:, None]
+        rows = lambda v: v.transpose(1, 0, 2).reshape(v.shape[1], -1)
+        out = {"o": rows(s) @ rows(d).T, "c": d.sum((0, 2))}
+        ds, n = self.p["o"] @ d, self.hidden
+        for name, kept, part in (("f", kf, ds[:, :n]), ("b", kb, ds[:, n:])):
             u, gx = self.p["u" + name], np.zeros_like(self.p["x" + name])
             at = np.array([k[0] for k in kept])
             h, z, r, c, gc = (np.stack([k[i] for k in kept]) for i in range(1, 6))
-            live = (x[at] > 0).astype("float32")[..., None]
+            live = (x[at] > 0).astype("float32")[:, None]
             # what the gradient of a state is multiplied by, for all positions at once
             to_z, to_pre, to_r, stays = live * (h - c) * z * (1 - z), live * (1 - z) * (1 - c * c), gc * r * (1 - r), 1 - live * (1 - z)
-            da, dg, ut = np.empty((*z.shape[:2], 3 * n), "float32"), np.empty((*z.shape[:2], 3 * n), "float32"), np.ascontiguousarray(u.T)
-            back = np.zeros((x.shape[1], n), "float32")
+            dg = np.empty((len(kept), 3 * n, x.shape[1]), "float32")
+            da = np.empty_like(dg)
+            back = np.zeros((n, x.shape[1]), "float32")
             for k in range(len(kept) - 1, -1, -1):
                 dh = back + part[at[k]]
-                np.multiply(dh, to_z[k], out=dg[k, :, :n])
-                dpre = dh * to_pre[k]
-                np.multiply(dpre, to_r[k], out=dg[k, :, n : 2 * n])
-                np.multiply(dpre, r[k], out=dg[k, :, 2 * n :])
-                da[k, :, 2 * n :] = dpre
-                back = dh * stays[k] + dg[k] @ ut
-            da[..., : 2 * n] = dg[..., : 2 * n]
+                np.multiply(dh, to_z[k], out=dg[k, :n])
+                dpre = np.multiply(dh, to_pre[k], out=da[k, 2 * n :])
+                np.multiply(dpre, to_r[k], out=dg[k, n : 2 * n])
+                np.multiply(dpre, r[k], out=dg[k, 2 * n :])
+                back = dh * stays[k] + u @ dg[k]
+            da[:, : 2 * n] = dg[:, : 2 * n]
             owner = x[at].ravel()
             order = np.argsort(owner, kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(owner[order]) != 0])
-            gx[owner[order[first]]] = np.add.reduceat(da.reshape(-1, 3 * n)[order], first)
-            out["u" + name], out["x" + name] = h.reshape(-1, n).T @ dg.reshape(-1, 3 * n), gx
+            gx[owner[order[first]]] = np.add.reduceat(da.transpose(0, 2, 1).reshape(-1, 3 * n)[order], first)
+            out["u" + name], out["x" + name] = rows(h) @ rows(dg).T, gx
         return out
 
     def train(self, texts: list[bytes], labels: np.ndarray, steps: int = 260, batch: int = 128, rate: float = 0.012, seed: int = 9) -> None:
